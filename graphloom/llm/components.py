@@ -1,0 +1,34 @@
+"""Connected components over an edge table, without ever holding labels or edges in one place."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import materialise
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) links -> (node, component), component being the least node reached.
+
+    Each round takes the least label among a node's neighbours, then the label of that label (pointer jumping), which
+    shortens paths by half; it ends when no label changed. Minima are pre-aggregated before the shuffle, so a hub costs
+    one row per task.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("near"))
+    )
+    both = materialise(both.where("node <> near").distinct(), "links")
+    label = both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("component"))
+    label = materialise(label, "labels")
+    while True:
+        near = both.join(label.withColumnRenamed("node", "near"), "near")
+        low = near.groupBy("node").agg(F.min("component").alias("low"))
+        step = label.join(low, "node").select("node", F.least("component", "low").alias("low"), F.col("component").alias("old"))
+        step = materialise(step, "step")
+        root = step.select(F.col("node").alias("low"), F.col("low").alias("root"))
+        jumped = step.join(root, "low").select("node", F.least("low", "root").alias("component"), "old")
+        jumped = materialise(jumped, "labels")
+        label = jumped.select("node", "component")
+        if jumped.where("component <> old").isEmpty():
+            return label
