@@ -36,7 +36,7 @@ def family_key(t: Column) -> Column:
 def is_title_case(t: Column) -> Column:
     """No lower-case letter after a character without case, no upper-case letter after one with case."""
     cased = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
-    return ~t.rlike(rf"(?<!{cased})\p{{IsLowercase}}|(?<={cased})[\p{{IsUppercase}}\p{{Lt}}]") & t.rlike(cased)
+    return ~t.rlike(rf"(?<!{cased})\p{{IsLowercase}}|(?<={cased})[\p{{IsUppercase}}\p{{Lt}}]")
 
 
 def preference(t: Column) -> Column:
@@ -45,7 +45,7 @@ def preference(t: Column) -> Column:
     return F.struct(
         F.when(without_suffix(t) != s, 1).otherwise(0).alias("suffixed"),
         F.when(is_title_case(s), -1).otherwise(0).alias("cased"),
-        F.length(s).alias("length"),
+        F.length(without_suffix(t)).alias("length"),
         fold(s).alias("folded"),
     )
 
