@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from graphloom.storage import materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (node, component), component being the least node reached.
+    """(a, b) links -> (node, component), component being the least node reached. Loops and nulls make no link.
 
     Each round takes the least label among a node's neighbours, then the label of that label (pointer jumping), which
     shortens paths by half; it ends when no label changed. Minima are pre-aggregated before the shuffle, so a hub costs
@@ -32,3 +32,20 @@ def components(links: DataFrame) -> DataFrame:
         label = jumped.select("node", "component")
         if jumped.where("component <> old").isEmpty():
             return label
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """(source_title, target_title) -> (page_title, component, size) of every edge end, loops included."""
+    links = edges.select(F.col("source_title").alias("a"), F.col("target_title").alias("b"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    label = ends.join(components(links), "node", "left")
+    label = materialise(label.select("node", F.coalesce("component", "node").alias("component")), "component_of")
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return label.join(sizes, "component").select(F.col("node").alias("page_title"), "component", "size")
+
+
+def without_small(edges: DataFrame, largest: int = 2) -> DataFrame:
+    """The edges whose component has more than ``largest`` pages. One pass is enough: dropping whole components can't
+    make another one smaller."""
+    keep = component_sizes(edges).where(F.col("size") > largest).select(F.col("page_title").alias("source_title"))
+    return edges.join(keep, "source_title", "left_semi")
