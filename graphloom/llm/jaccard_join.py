@@ -30,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from graphloom.operators.components import components
 from .exact_dedup import sized_join
-from .storage import materialise
+from graphloom.storage import materialise
 from .words import encoded, mix, shingle_hashes, word_hashes
 
 #: Jaccard similarity as a fraction of whole numbers, compared without rounding: 100 * both >= 80 * either.

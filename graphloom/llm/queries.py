@@ -7,8 +7,19 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard_join, langid, mixing, packing, quality
-from .storage import table
+from . import (
+    exact_dedup,
+    fingerprints,
+    html_extract,
+    jaccard_join,
+    langid,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    warc,
+)
+from graphloom.storage import table
 
 
 def tokenizer_path(name: str = packing.TOKENIZER) -> str:
@@ -45,6 +56,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.plan_records(table(spark, sf_dir, "pages")))
+    return warc.summary(warc.read(archives))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -130,10 +155,23 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
+    "op5_license_scan": op5_license_scan,
+    "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
     "op8_jaccard_components": op8_jaccard_components,
     "op9_mix": op9_mix,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op9_mix": OP9_SQL}
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS stored FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id < stored THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < stored THEN stored END AS refers_to
+FROM m
+"""
+
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_license_scan": licenses.oracle(), "op9_mix": OP9_SQL}
