@@ -2,5 +2,578 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import titles as T
+from graphloom.operators import canonical, clusters, components, graph, ingest, layout, paths, tiles
+from graphloom.sources.testgraph import graph_table, with_tables
+from graphloom.storage import materialise, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _filtered(spark: SparkSession, d: str) -> DataFrame:
+    return graph.both_ends_in(graph_table(spark, d, "page_links"), graph_table(spark, d, "discovered_pages"))
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    return graph.both_ends_in(graph_table(spark, d, "page_links"), graph_table(spark, d, "searched_pages"))
+
+
+_E = ", e AS (SELECT source_title, target_title FROM page_links WHERE source_title IN (SELECT page_title FROM discovered_pages) AND target_title IN (SELECT page_title FROM discovered_pages))"
+FILTERED = with_tables("page_links", "discovered_pages") + _E
+SEARCHED = with_tables("page_links", "searched_pages") + _E.replace("discovered_pages", "searched_pages")
+_DEG = """, n AS (SELECT source_title AS page_title FROM e UNION SELECT target_title FROM e),
+g AS (SELECT page_title, (SELECT count(*) FROM e WHERE target_title = page_title) AS in_degree,
+  (SELECT count(*) FROM e WHERE source_title = page_title) AS out_degree FROM n)"""
+
+
+@query(FILTERED + _DEG + """
+SELECT page_title, in_degree, out_degree, round(least(18.0, greatest(1.5, 1.5 + 1.4 * ln(1.0 + in_degree))), 6) AS node_size
+FROM g ORDER BY in_degree DESC, out_degree DESC, page_title LIMIT 100""")
+def graph_top_nodes(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.degrees(_filtered(spark, d))
+    size = F.round(graph.node_size(F.col("in_degree")), 6).alias("node_size")
+    return found.select("page_title", "in_degree", "out_degree", size).orderBy(
+        F.desc("in_degree"), F.desc("out_degree"), "page_title").limit(100)
+
+
+@query(FILTERED + " SELECT source_title, target_title FROM e")
+def filtered_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _filtered(spark, d)
+
+
+@query(FILTERED + " SELECT source_title AS page_title FROM e UNION SELECT target_title FROM e")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_nodes(_filtered(spark, d))
+
+
+@query(FILTERED + """ SELECT page_title, row_number() OVER (ORDER BY page_title) - 1 AS id
+FROM (SELECT source_title AS page_title FROM e UNION SELECT target_title FROM e)""")
+def node_ids(spark: SparkSession, d: str) -> DataFrame:
+    return graph.ids_of(graph.edge_nodes(_filtered(spark, d)))
+
+
+@query(FILTERED + _DEG + " SELECT page_title, in_degree, out_degree FROM g")
+def node_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_filtered(spark, d))
+
+
+_SDEG = """, g AS (SELECT page_title, (SELECT count(*) FROM e WHERE target_title = page_title) AS in_degree,
+  (SELECT count(*) FROM e WHERE source_title = page_title) AS out_degree FROM searched_pages)"""
+
+
+@query(SEARCHED + _SDEG + " SELECT page_title, in_degree, out_degree FROM g WHERE in_degree = 0 OR out_degree = 0")
+def dead_ends_and_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_searched(spark, d), graph_table(spark, d, "searched_pages")).where("in_degree = 0 or out_degree = 0")
+
+
+@query(SEARCHED + _SDEG + """, s AS (SELECT count(*) AS total, count(*) FILTER (out_degree = 0) AS dead_ends,
+ count(*) FILTER (in_degree = 0) AS orphans, count(*) FILTER (in_degree = 0 AND out_degree = 0) AS isolated,
+ count(*) FILTER (out_degree > 0) AS starts, count(*) FILTER (in_degree > 0) AS ends FROM g)
+SELECT *, printf('%.2f%%', 100.0 * dead_ends / total) AS dead_ends_share, printf('%.2f%%', 100.0 * orphans / total) AS orphans_share,
+ printf('%.2f%%', 100.0 * isolated / total) AS isolated_share FROM s""")
+def path_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return graph.path_statistics(graph.degrees(_searched(spark, d), graph_table(spark, d, "searched_pages")))
+
+
+@query(FILTERED + """, b AS (SELECT source_title AS p, target_title AS q FROM e UNION SELECT target_title, source_title FROM e)
+SELECT p AS page_title, string_agg(q, '|' ORDER BY q) AS neighbors FROM b GROUP BY p""")
+def undirected_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency(_filtered(spark, d)).select("page_title", F.array_join("neighbors", "|").alias("neighbors"))
+
+
+@query(FILTERED + """, n AS (SELECT source_title AS p FROM e UNION SELECT target_title FROM e)
+SELECT p AS page_title, coalesce((SELECT string_agg(target_title, '|' ORDER BY target_title) FROM e WHERE source_title = p), '') AS outs,
+ coalesce((SELECT string_agg(source_title, '|' ORDER BY source_title) FROM e WHERE target_title = p), '') AS ins FROM n""")
+def directed_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return graph.directed_adjacency(_filtered(spark, d)).select(
+        "page_title", F.array_join("out", "|").alias("outs"), F.array_join("in", "|").alias("ins"))
+
+
+@query(with_tables("page_links") + " SELECT target_title FROM page_links WHERE source_title = 'C1'")
+def out_targets(spark: SparkSession, d: str) -> DataFrame:
+    return graph.out_targets(graph_table(spark, d, "page_links"), "C1")
+
+
+@query(with_tables("discovered_pages") + " SELECT count(*) AS n, count(*) < 72666 AS refresh FROM discovered_pages")
+def discovered_count(spark: SparkSession, d: str) -> DataFrame:
+    return graph_table(spark, d, "discovered_pages").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) < 72666).alias("refresh"))
+
+
+@query(with_tables("discovered_pages", "searched_pages") + """ SELECT page_title FROM discovered_pages
+WHERE page_title NOT IN (SELECT page_title FROM searched_pages) ORDER BY page_title LIMIT 50""")
+def pending_titles(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.pending(graph_table(spark, d, "discovered_pages"), graph_table(spark, d, "searched_pages"), 50)
+
+
+@query(with_tables("discovered_pages") + """ SELECT (k - 1) // 20 AS batch, (k - 1) % 20 AS pos, page_title
+FROM (SELECT page_title, row_number() OVER (ORDER BY page_title) AS k FROM discovered_pages)""")
+def crawl_batches(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.batches(graph_table(spark, d, "discovered_pages"))
+
+
+_UPSERT = """, p AS (SELECT page_title, 1 AS v FROM discovered_pages), q AS (SELECT page_title, 2 AS v FROM searched_pages)"""
+
+
+@query(with_tables("discovered_pages", "searched_pages") + _UPSERT + """ SELECT page_title, v FROM p UNION ALL
+SELECT page_title, v FROM q WHERE page_title NOT IN (SELECT page_title FROM p)""")
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    p, q = (graph_table(spark, d, t).withColumn("v", F.lit(v)) for t, v in (("discovered_pages", 1), ("searched_pages", 2)))
+    return ingest.insert_or_ignore(p, q, ["page_title"])
+
+
+@query(with_tables("discovered_pages", "searched_pages") + _UPSERT + """ SELECT page_title, v FROM q UNION ALL
+SELECT page_title, v FROM p WHERE page_title NOT IN (SELECT page_title FROM q)""")
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    p, q = (graph_table(spark, d, t).withColumn("v", F.lit(v)) for t, v in (("discovered_pages", 1), ("searched_pages", 2)))
+    return ingest.upsert(p, q, ["page_title"])
+
+
+@query(with_tables("discovered_pages", "searched_pages") + """ SELECT page_title FROM discovered_pages
+WHERE page_title NOT IN (SELECT page_title FROM searched_pages)""")
+def clean_failed(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.clean_failed(graph_table(spark, d, "discovered_pages"), graph_table(spark, d, "searched_pages"))
+
+
+# ------------------------------------------------------------------------------------------------ titles, aliases
+
+_PY_SPACE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _sql_fold(x: str) -> str:
+    return f"replace(lower(upper(lower({x}))), 'ß', 'ss')"
+
+
+_T = (
+    with_tables("dirty_links")
+    + f""", l AS (SELECT * FROM dirty_links WHERE source_title <> '' AND target_title <> ''),
+ti AS (SELECT source_title AS title FROM l UNION SELECT target_title FROM l),
+f2 AS (SELECT title, translate(trim(regexp_replace(title, '{_PY_SPACE}', ' ', 'g')), '‘’ʼ`', '''''''''') AS plain FROM ti),
+f3 AS (SELECT *, regexp_replace(plain, '(?i)\\s+\\(disambiguation\\)$', '') AS bare FROM f2),
+f4 AS (SELECT *, {_sql_fold('bare')} AS family, {_sql_fold('plain')} AS spelling,
+  CASE WHEN plain <> bare THEN 1 ELSE 0 END AS suffixed,
+  CASE WHEN regexp_matches(plain, '(^|[^\\p{{L}}])\\p{{Ll}}') OR regexp_matches(plain, '\\p{{L}}\\p{{Lu}}') THEN 0 ELSE -1 END AS cased,
+  length(bare) AS len FROM f3),
+rk AS (SELECT *, first_value(title) OVER w AS canonical, first_value(spelling) OVER w AS best_spelling, count(*) OVER (PARTITION BY family) AS n
+  FROM f4 WINDOW w AS (PARTITION BY family ORDER BY suffixed, cased, len, spelling, title)),
+al AS (SELECT title AS old_title, CASE WHEN spelling = best_spelling THEN canonical WHEN bare IN (SELECT title FROM ti) AND bare <> title THEN bare END AS canonical_title
+  FROM rk WHERE n > 1 AND title <> canonical),
+am AS (SELECT * FROM al WHERE canonical_title IS NOT NULL),
+cl AS (SELECT DISTINCT coalesce(a.canonical_title, l.source_title) AS source_title, coalesce(b.canonical_title, l.target_title) AS target_title
+  FROM l LEFT JOIN am a ON a.old_title = l.source_title LEFT JOIN am b ON b.old_title = l.target_title)"""
+)
+
+
+def _dirty(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    links = materialise(graph_table(spark, d, "dirty_links").where("source_title <> '' and target_title <> ''"), "dirty_links")
+    return {"page_links": links}
+
+
+def _aliases(t: dict[str, DataFrame]) -> DataFrame:
+    return materialise(canonical.alias_map(canonical.all_titles(t)), "aliases")
+
+
+@query(_T + " SELECT title, plain, bare, family, cased FROM f4")
+def title_functions(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return canonical.all_titles(_dirty(spark, d)).select(
+        "title", T.plain_apostrophes(t).alias("plain"), T.without_suffix(t).alias("bare"), T.family_key(t).alias("family"),
+        F.when(T.is_title_case(T.plain_apostrophes(t)), -1).otherwise(0).alias("cased"))
+
+
+@query(_T + " SELECT old_title, canonical_title FROM am")
+def alias_map(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.alias_map(canonical.all_titles(_dirty(spark, d)))
+
+
+@query(_T + " SELECT old_title, canonical_title FROM am ORDER BY old_title LIMIT 20")
+def alias_sample(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.alias_map(canonical.all_titles(_dirty(spark, d))).orderBy("old_title").limit(20)
+
+
+@query(_T + " SELECT source_title, target_title FROM cl")
+def canonical_links(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    return canonical.canonical_links(t["page_links"], _aliases(t))
+
+
+@query(_T + """ SELECT (SELECT count(*) FROM l) AS edges_before, (SELECT count(*) FROM ti) AS nodes_before, (SELECT count(*) FROM cl) AS edges_after,
+(SELECT count(*) FROM (SELECT source_title FROM cl UNION SELECT target_title FROM cl)) AS nodes_after""")
+def canonical_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    after = materialise(canonical.canonical_links(t["page_links"], _aliases(t)), "after")
+    parts = []
+    for name, df in (("before", t["page_links"]), ("after", after)):
+        parts += [df.agg(F.count(F.lit(1)).alias(f"edges_{name}")), graph.edge_nodes(df).agg(F.count(F.lit(1)).alias(f"nodes_{name}"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # a row each
+    return out
+
+
+_PG = """, pg AS (SELECT source_title AS page_title, count(*) AS links_out_count, NULL AS categories_count,
+ CASE WHEN count(*) % 3 = 0 THEN concat('e', source_title) END AS error_message FROM l GROUP BY source_title),
+cp AS (SELECT coalesce(canonical_title, page_title) AS page_title, max(coalesce(links_out_count, 0)) AS links_out_count,
+ max(coalesce(categories_count, 0)) AS categories_count, min(error_message) AS error_message FROM pg LEFT JOIN am ON old_title = page_title GROUP BY 1)"""
+
+
+def _pages(links: DataFrame) -> DataFrame:
+    out = links.groupBy(F.col("source_title").alias("page_title")).agg(F.count(F.lit(1)).alias("links_out_count"))
+    error = F.when(F.col("links_out_count") % 3 == 0, F.concat(F.lit("e"), F.col("page_title")))
+    return out.select("page_title", "links_out_count", F.lit(None).cast("int").alias("categories_count"), error.alias("error_message"))
+
+
+@query(_T + _PG + " SELECT page_title, links_out_count, CAST(categories_count AS INT) AS categories_count, error_message FROM cp")
+def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    return canonical.canonical_pages(_pages(t["page_links"]), _aliases(t))
+
+
+@query(_T + """ SELECT coalesce(canonical_title, title) AS page_title, min(length(title) % 5) AS cluster_id FROM ti LEFT JOIN am ON old_title = title GROUP BY 1""")
+def canonical_clusters(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    rows = canonical.all_titles(t).select(F.col("title").alias("page_title"), (F.length("title") % 5).cast("long").alias("cluster_id"))
+    return canonical.canonical_clusters(rows, _aliases(t))
+
+
+@query(_T + """, nl AS (SELECT title AS page_title, length(title) % 4 AS node_size, length(title) % 3 AS out_degree, length(title) % 2 AS in_degree FROM ti)
+SELECT coalesce(canonical_title, page_title) AS page_title, node_size, out_degree, in_degree FROM nl LEFT JOIN am ON old_title = page_title
+QUALIFY row_number() OVER (PARTITION BY coalesce(canonical_title, page_title) ORDER BY node_size DESC, out_degree DESC, in_degree DESC, page_title) = 1""")
+def canonical_layout(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    mod = lambda k: (F.length("title") % k).cast("long")
+    rows = canonical.all_titles(t).select(F.col("title").alias("page_title"), mod(4).alias("node_size"), mod(3).alias("out_degree"), mod(2).alias("in_degree"))
+    return canonical.canonical_layout(rows, _aliases(t))
+
+
+@query(_T + _PG + """, ends AS (SELECT source_title AS page_title FROM cl UNION SELECT target_title FROM cl)
+SELECT page_title, links_out_count, CAST(categories_count AS INT) AS categories_count, error_message FROM cp UNION ALL
+SELECT page_title, 0, 0, NULL FROM ends WHERE page_title NOT IN (SELECT page_title FROM cp)""")
+def backfilled_pages(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    seen = t["page_links"].select(F.col("source_title").alias("page_title")).distinct()
+    return canonical.canonicalise(t | {"pages": _pages(t["page_links"]), "discovered_pages": seen})["pages"]
+
+
+# ---------------------------------------------------------------------------------------- categories and clusters
+
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(with_tables("page_categories") + f""" SELECT page_title, string_agg(c, '||' ORDER BY c) AS categories
+FROM (SELECT page_title, {_STRIP.format('category_name')} AS c FROM page_categories) WHERE c <> '' GROUP BY page_title""")
+def page_categories(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.grouped_categories(graph_table(spark, d, "page_categories"))
+    return found.select("page_title", F.array_join("categories", "||").alias("categories"))
+
+
+_GENERIC = "|".join(clusters.GENERIC)
+_CAND = f""", r AS (SELECT page_title, cluster_id, trim(regexp_replace(category_name, '\\s+', ' ', 'g')) AS name FROM page_categories JOIN cluster_assignments USING (page_title)),
+s AS (SELECT *, row_number() OVER (PARTITION BY page_title, lower(name) ORDER BY name) AS k FROM r WHERE name <> '' AND NOT regexp_matches(lower(name), '{_GENERIC}')),
+c AS (SELECT cluster_id, name, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS coverage, count(*) AS uses FROM s GROUP BY ALL)"""
+
+
+@query(with_tables("page_categories", "cluster_assignments") + _CAND + """ SELECT cluster_id, name, CAST(coverage AS BIGINT) AS coverage, uses,
+row_number() OVER (PARTITION BY cluster_id ORDER BY coverage DESC, uses DESC, length(name), lower(name), name) AS rank FROM c QUALIFY coverage > 0""")
+def cluster_name_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.name_candidates(graph_table(spark, d, "cluster_assignments"), graph_table(spark, d, "page_categories"))
+
+
+@query()
+def cluster_names(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_names(graph_table(spark, d, "cluster_assignments"), graph_table(spark, d, "page_categories"))
+
+
+_COLOR = """, k AS (SELECT DISTINCT cluster_id FROM cluster_assignments), h AS (SELECT cluster_id, (cluster_id * 0.618033988749895e0) % 1.0e0 AS h FROM k),
+i AS (SELECT *, CAST(floor(h * 6.0e0) AS INT) AS i, h * 6.0e0 - floor(h * 6.0e0) AS f FROM h),
+v AS (SELECT *, 0.9e0 AS v, 0.9e0 * (1.0e0 - 0.65e0) AS p, 0.9e0 * (1.0e0 - 0.65e0 * f) AS q, 0.9e0 * (1.0e0 - 0.65e0 * (1.0e0 - f)) AS t FROM i),
+m AS (SELECT cluster_id, [v, q, p, p, t, v][i % 6 + 1] AS r, [t, v, v, q, p, p][i % 6 + 1] AS g, [p, p, t, v, v, q][i % 6 + 1] AS b FROM v)"""
+
+
+@query(with_tables("cluster_assignments") + _COLOR + """ SELECT cluster_id,
+printf('#%02x%02x%02x', CAST(trunc(r * 255) AS INT), CAST(trunc(g * 255) AS INT), CAST(trunc(b * 255) AS INT)) AS cluster_color FROM m""")
+def cluster_colors(spark: SparkSession, d: str) -> DataFrame:
+    rows = graph_table(spark, d, "cluster_assignments").select("cluster_id").distinct()
+    return rows.select("cluster_id", clusters.color(F.col("cluster_id")).alias("cluster_color"))
+
+
+@query(with_tables("cluster_assignments") + """, s AS (SELECT count(*) AS size FROM cluster_assignments GROUP BY cluster_id)
+SELECT count(*) AS clusters, min(size) AS smallest, max(size) AS largest, round(avg(size), 6) AS average,
+count(*) FILTER (size = 1) AS singletons, count(*) FILTER (size < 5) AS below_5, count(*) FILTER (size < 10) AS below_10 FROM s""")
+def cluster_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_statistics(graph_table(spark, d, "cluster_assignments"))
+
+
+@query(FILTERED.replace("WITH ", with_tables("cluster_assignments") + ", ", 1) + """,
+u AS (SELECT DISTINCT least(source_title, target_title) AS s, greatest(source_title, target_title) AS t FROM e)
+SELECT least(x.cluster_id, y.cluster_id) AS a, greatest(x.cluster_id, y.cluster_id) AS b, count(*) AS weight
+FROM u JOIN cluster_assignments x ON x.page_title = s JOIN cluster_assignments y ON y.page_title = t WHERE x.cluster_id <> y.cluster_id GROUP BY ALL""")
+def cluster_weights(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_weights(_filtered(spark, d), graph_table(spark, d, "cluster_assignments"))
+
+
+_CC = FILTERED.replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT source_title AS p, target_title AS q FROM e UNION SELECT target_title, source_title FROM e),
+reach AS (SELECT p AS node, p AS seen FROM b UNION SELECT r.node, b.q FROM reach r JOIN b ON b.p = r.seen),
+cc AS (SELECT node AS page_title, min(seen) AS component FROM reach GROUP BY node)"""
+
+
+@query(_CC + " SELECT page_title, component, count(*) OVER (PARTITION BY component) AS size FROM cc")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return components.component_sizes(_filtered(spark, d))
+
+
+@query(_CC + """, z AS (SELECT page_title, count(*) OVER (PARTITION BY component) AS size FROM cc)
+SELECT source_title, target_title FROM e WHERE source_title IN (SELECT page_title FROM z WHERE size > 2)""")
+def without_small_components(spark: SparkSession, d: str) -> DataFrame:
+    return components.without_small(_filtered(spark, d))
+
+
+@query()
+def communities(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.communities(_filtered(spark, d))
+
+
+@query()
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    assigned = graph_table(spark, d, "cluster_assignments")
+    colors = assigned.select("cluster_id").distinct().select("cluster_id", clusters.color(F.col("cluster_id")).alias("cluster_color"))
+    return layout.layout(_filtered(spark, d), assigned, colors)
+
+
+# ----------------------------------------------------------------------------------------------------------- paths
+
+_BFS = SEARCHED.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT source_title AS start FROM e GROUP BY 1 ORDER BY 1 LIMIT 3),
+w AS (SELECT start, start AS node, 0 AS depth FROM st UNION SELECT w.start, e.target_title, w.depth + 1 FROM w JOIN e ON e.source_title = w.node WHERE w.depth < 60),
+t AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL)"""
+
+
+def _starts(edges: DataFrame, n: int) -> DataFrame:
+    return edges.select(F.col("source_title").alias("page_title")).distinct().orderBy("page_title").limit(n)
+
+
+@query(_BFS + """ SELECT t.start, t.node, t.depth, min(p.node) AS pred FROM t LEFT JOIN e ON e.target_title = t.node AND t.depth > 0
+LEFT JOIN t p ON p.start = t.start AND p.node = e.source_title AND p.depth = t.depth - 1 GROUP BY ALL""")
+def bfs_tree(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    return paths.bfs(edges, _starts(edges, 3))
+
+
+@query(_BFS + " SELECT start, node AS farthest_title, depth FROM t QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, node) = 1")
+def bfs_farthest(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    return paths.farthest(paths.bfs(edges, _starts(edges, 3)))
+
+
+@query(_BFS + """ SELECT start AS start_node, node AS farthest_node, CAST(depth AS BIGINT) AS depth FROM t
+QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, node) = 1""")
+def bfs_eccentricities(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    return paths.eccentricities(edges, _starts(edges, 3)).select("start_node", "farthest_node", "depth")
+
+
+@query()
+def eccentricities(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    return paths.eccentricities(edges, edges.select(F.col("source_title").alias("page_title")).distinct())
+
+
+@query()
+def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    tree = materialise(paths.bfs(edges, _starts(edges, 2)), "tree")
+    goals = paths.farthest(tree).select("start", F.col("farthest_title").alias("node"))
+    return paths.path_to(tree, goals)
+
+
+@query()
+def bfs_summary(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    ends = edges.agg(F.min("source_title"), F.max("target_title")).first()
+    return paths.bfs_summary(edges, ends[0], ends[1])
+
+
+@query()
+def longest_incoming_paths(spark: SparkSession, d: str) -> DataFrame:
+    edges = materialise(_searched(spark, d), "edges")
+    goals = edges.select(F.col("target_title").alias("page_title")).distinct().orderBy(F.desc("page_title")).limit(2)
+    return paths.longest_incoming(edges, goals)
+
+
+# ----------------------------------------------------------------------------------------------------------- tiles
+
+_LB = with_tables("nodes_layout") + """, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nodes_layout),
+s AS (SELECT n.*, (x - x0) / greatest(x1 - x0, 1e-9) AS u, (y1 - y) / greatest(y1 - y0, 1e-9) AS v FROM nodes_layout n, b)"""
+
+
+def _layout(spark: SparkSession, d: str) -> DataFrame:
+    return graph_table(spark, d, "nodes_layout")
+
+
+def _colors(spark: SparkSession, d: str) -> DataFrame:
+    rows = graph_table(spark, d, "cluster_assignments").select("cluster_id").distinct()
+    name = F.when(F.col("cluster_id") % 5 != 0, F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")))
+    return rows.select("cluster_id", clusters.color(F.col("cluster_id")).alias("cluster_color"), name.alias("cluster_name"))
+
+
+_PT = _LB + """, z AS (SELECT unnest([6, 7]) AS zoom), pt AS (SELECT page_title, zoom,
+greatest(0, least((1 << zoom) - 1, CAST(trunc(u * (1 << zoom)) AS INT))) AS tx, greatest(0, least((1 << zoom) - 1, CAST(trunc(v * (1 << zoom)) AS INT))) AS ty FROM s, z)"""
+
+
+@query(_LB + " SELECT x0 AS min_x, x1 AS max_x, y0 AS min_y, y1 AS max_y FROM b")
+def layout_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.bounds(_layout(spark, d))
+
+
+@query(_PT + " SELECT page_title, CAST(zoom AS INT) AS zoom, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty FROM pt")
+def point_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.point_tiles(_layout(spark, d), [6, 7]).select("page_title", "zoom", "tx", "ty")
+
+
+@query(_PT + """ SELECT CAST(zoom AS INT) AS zoom, CAST(1 << zoom AS INT) AS tiles_per_axis, count(DISTINCT tx * 1000 + ty) AS node_tiles,
+count(*) AS included_nodes, zoom >= 6 AS interactive_enabled FROM pt GROUP BY zoom""")
+def tile_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.tile_statistics(tiles.point_tiles(_layout(spark, d), [6, 7]))
+
+
+_DISC = _LB + """, g AS (SELECT *, u * 8192.0e0 AS gx, v * 8192.0e0 AS gy, greatest(1, CAST(trunc(greatest(1.0e0, node_size * (0.35e0 + 0.15e0 * 3))) AS INT)) AS radius FROM s),
+r AS (SELECT *, greatest(0, least(7, CAST(floor((gx - radius) / 1024) AS INT))) AS a0, greatest(0, least(7, CAST(floor((gx + radius) / 1024) AS INT))) AS a1,
+ greatest(0, least(7, CAST(floor((gy - radius) / 1024) AS INT))) AS c0, greatest(0, least(7, CAST(floor((gy + radius) / 1024) AS INT))) AS c1 FROM g),
+x AS (SELECT *, unnest(generate_series(a0, a1)) AS tx FROM r), dt AS (SELECT *, unnest(generate_series(c0, c1)) AS ty FROM x),
+dd AS (SELECT page_title, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, gx - tx * 1024 AS lx, gy - ty * 1024 AS ly, CAST(radius AS DOUBLE) AS radius FROM dt)"""
+
+
+@query(_DISC + " SELECT page_title, tx, ty, round(lx, 6) AS local_x, round(ly, 6) AS local_y, radius FROM dd")
+def disc_tiles(spark: SparkSession, d: str) -> DataFrame:
+    found = tiles.disc_tiles(_layout(spark, d), 3)
+    return found.select("page_title", "tx", "ty", F.round("local_x", 6).alias("local_x"), F.round("local_y", 6).alias("local_y"), "radius")
+
+
+@query(_DISC + """ SELECT page_title, CAST(tx // 2 AS INT) AS tx, CAST(ty // 2 AS INT) AS ty, round(lx / 2 + (tx % 2) * 512, 6) AS local_x,
+round(ly / 2 + (ty % 2) * 512, 6) AS local_y, greatest(1.0e0, radius / 2) AS radius FROM dd""")
+def parent_disc_tiles(spark: SparkSession, d: str) -> DataFrame:
+    found = tiles.parent_discs(tiles.disc_tiles(_layout(spark, d), 3))
+    return found.select("page_title", "tx", "ty", F.round("local_x", 6).alias("local_x"), F.round("local_y", 6).alias("local_y"), "radius")
+
+
+@query(_DISC + " SELECT tx, ty, count(*) AS ops, sum(count(*)) OVER () AS total FROM dd GROUP BY ALL")
+def disc_counts(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    found = tiles.disc_tiles(_layout(spark, d), 3).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("ops"))
+    return found.withColumn("total", F.sum("ops").over(Window.partitionBy()).cast("decimal(38,0)"))  # a row per tile
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    return _layout(spark, d).join(F.broadcast(_colors(spark, d).drop("cluster_name")), "cluster_id")
+
+
+_GEO = _LB.replace("WITH ", with_tables("page_links", "cluster_assignments") + ", ", 1) + _COLOR + """,
+kc AS (SELECT cluster_id, [CAST(trunc(r * 255) AS INT), CAST(trunc(g * 255) AS INT), CAST(trunc(b * 255) AS INT)] AS rgb FROM m),
+nd AS (SELECT page_title, u * 65536.0e0 AS gx, v * 65536.0e0 AS gy, node_size, rgb FROM s JOIN kc USING (cluster_id)),
+el AS (SELECT *, row_number() OVER (ORDER BY source_title || chr(1) || target_title) - 1 AS edge_id FROM page_links)
+SELECT edge_id, source_title, target_title, round(p.gx, 6) AS x1, round(p.gy, 6) AS y1, round(q.gx, 6) AS x2, round(q.gy, 6) AS y2,
+array_to_string(p.rgb, ',') AS c1, array_to_string(q.rgb, ',') AS c2, p.gx IS NULL OR q.gx IS NULL AS missing,
+CASE WHEN p.gx IS NULL OR q.gx IS NULL THEN NULL ELSE CAST(round_even(greatest(40.0e0, least(255.0e0, 40.0e0 * greatest(0.9e0, least(2.6e0, 0.9e0 + 0.45e0 * ln(1.0e0 + greatest(p.node_size, q.node_size)))))), 0) AS INT) END AS alpha
+FROM el LEFT JOIN nd p ON p.page_title = source_title LEFT JOIN nd q ON q.page_title = target_title"""
+
+
+@query(_GEO)
+def edge_geometry(spark: SparkSession, d: str) -> DataFrame:
+    found = tiles.edge_geometry(graph_table(spark, d, "page_links"), _drawn(spark, d), 6)
+    return found.select("edge_id", "source_title", "target_title", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")],
+                        F.array_join("rgb1", ",").alias("c1"), F.array_join("rgb2", ",").alias("c2"), "missing", "alpha")
+
+
+def _edge_tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    geometry = materialise(tiles.edge_geometry(graph_table(spark, d, "page_links"), _drawn(spark, d), 6), "geometry")
+    return materialise(tiles.edge_tiles(geometry, 6), "edge_tiles"), geometry
+
+
+@query()
+def edge_tiles(spark: SparkSession, d: str) -> DataFrame:
+    found = _edge_tiles(spark, d)[0]
+    ids = F.array_join(F.array_sort(F.collect_set("edge_id")), ",").alias("edge_ids")
+    return found.groupBy("zoom", "tx", "ty").agg(ids, F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def edge_tile_shards(spark: SparkSession, d: str) -> DataFrame:
+    found = _edge_tiles(spark, d)[0].withColumn("shard", tiles.shard(F.col("tx"), F.col("ty")))
+    return found.groupBy("zoom").agg(F.count(F.lit(1)).alias("memberships"), F.countDistinct("shard").alias("shards"))
+
+
+@query()
+def edge_tile_images(spark: SparkSession, d: str) -> DataFrame:
+    found, geometry = _edge_tiles(spark, d)
+    return tiles.render_edges(found.where("zoom <= 2"), geometry, 6)
+
+
+@query()
+def node_tile_images(spark: SparkSession, d: str) -> DataFrame:
+    discs = tiles.disc_tiles(_drawn(spark, d), 1)
+    return tiles.render_nodes(discs.unionByName(tiles.parent_discs(discs)))
+
+
+def _payload(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node_payload(_layout(spark, d), _colors(spark, d), graph_table(spark, d, "page_categories"))
+
+
+_PAY = with_tables("nodes_layout", "page_categories", "cluster_assignments") + _COLOR + """,
+kc AS (SELECT cluster_id, CASE WHEN cluster_id % 5 <> 0 THEN concat('cluster ', cluster_id) END AS cluster_name,
+ printf('#%02x%02x%02x', CAST(trunc(r * 255) AS INT), CAST(trunc(g * 255) AS INT), CAST(trunc(b * 255) AS INT)) AS color FROM m),
+py AS (SELECT page_title AS id, x, y, round(node_size, 6) AS size, color, nodes_layout.cluster_id, cluster_name, in_degree, out_degree,
+ coalesce((SELECT string_agg(category_name, '||' ORDER BY category_name) FROM page_categories c WHERE c.page_title = nodes_layout.page_title), '') AS categories
+ FROM nodes_layout LEFT JOIN kc ON kc.cluster_id = nodes_layout.cluster_id)"""
+
+
+@query(_PAY + " SELECT * FROM py")
+def node_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return _payload(spark, d).withColumns({"categories": F.array_join("categories", "||"), "size": F.round("size", 6)})
+
+
+@query(_PAY + " SELECT id, color, row_number() OVER (ORDER BY lower(id), id) AS place FROM py")
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(spark, d).select(F.col("id").alias("node"), "color").withColumn("page_title", F.concat_ws("\u0001", F.lower("node"), "node"))
+    ids = graph.ids_of(rows.select("page_title"))
+    return rows.join(ids, "page_title").select(F.col("node").alias("id"), "color", (F.col("id") + 1).alias("place"))
+
+
+@query()
+def chunk_json(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.chunk_json(tiles.point_tiles(_layout(spark, d), [6, 7]), _payload(spark, d))
+
+
+@query(FILTERED.replace("WITH ", with_tables("nodes_layout") + ", ", 1) + """, t AS (SELECT DISTINCT source_title AS node_id FROM e ORDER BY 1 LIMIT 20),
+o AS (SELECT source_title AS node_id, target_title AS q, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_title, source_title, 0, 1 FROM e),
+n AS (SELECT node_id, q, max(o) AS o, max(i) AS i FROM o GROUP BY ALL)
+SELECT node_id, coalesce(string_agg(q, '|' ORDER BY q), '') AS neighbors, coalesce(string_agg(q, '|' ORDER BY q) FILTER (o = 1), '') AS outs,
+ coalesce(string_agg(q, '|' ORDER BY q) FILTER (i = 1), '') AS ins,
+ coalesce(string_agg(q, '|' ORDER BY q) FILTER (q IN (SELECT page_title FROM nodes_layout)), '') AS placed
+FROM t JOIN n USING (node_id) GROUP BY node_id""")
+def neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
+    edges = _filtered(spark, d)
+    found = graph.neighbourhood(_starts(edges, 20), edges, _layout(spark, d), _colors(spark, d), graph_table(spark, d, "page_categories"))
+    ids = F.transform("neighbor_nodes", lambda s: s["id"])
+    return found.select("node_id", *[F.array_join(c, "|").alias(n) for c, n in (("neighbors", "neighbors"), ("out", "outs"), ("in", "ins"))],
+                        F.array_join(ids, "|").alias("placed"))
+
+
+@query(_LB + """ SELECT a.page_title AS a, b.page_title AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance
+FROM nodes_layout a JOIN nodes_layout b ON a.page_title < b.page_title AND abs(a.x - b.x) < 30 AND abs(a.y - b.y) < 30
+WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 30""")
+def close_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = layout.close_pairs(_layout(spark, d).withColumnRenamed("page_title", "id"), 30.0)
+    return found.select("a", "b", F.round("distance", 6).alias("distance"))
