@@ -11,15 +11,24 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of a batch that Python workers get, unless the session says otherwise: texts and pages are long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to this application's Python workers, once; on a cluster it need not be installed there."""
+    """Send the package to this application's Python workers, once; on a cluster it need not be installed there.
+
+    Also lowers the size of their batches if it is Spark's default.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, BATCH_ROWS)
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="graphloom-code-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
