@@ -14,39 +14,43 @@ cross partitions. When a queue runs dry its weight leaves the tree and the other
 
 from __future__ import annotations
 
-import re
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from graphloom.storage import materialise
 
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 700_000
 
 # ---------------------------------------------------------------------------------------------------- tokenising
 
-_tokenizers: dict[str, object] = {}
-_ids_of: dict[str, dict[str, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """(the tokenizer, the same for lines of lower-case letters only, ids of words that were met lately and before)."""
     if path not in _tokenizers:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _ids_of[path] = {"now": {}, "old": {}}
-    return _tokenizers[path], _ids_of[path]
+        whole, letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Such lines need no normalising, and the pieces that the pattern would find in them are the words.
+        letters.normalizer = None
+        letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        _tokenizers[path] = whole, letters, {"now": {}, "old": {}}
+    return _tokenizers[path]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -55,40 +59,73 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     This vocabulary drops white space before it splits words, so a text's ids are those of its words in turn. Each
     distinct word is tokenised once and its ids are remembered.
     """
-    tokenizer, known = _tokenizer(path)
+    whole, letters, known = _tokenizer(path)
     end = END_ID.to_bytes(4, "little")
     out: list[bytes] = []
     for at in range(0, len(texts), 256):
-        part = [t.translate(_SPACES).split(" ") if _ODD.search(t) else t.split(" ") for t in texts[at : at + 256]]
-        wanted = set().union(*part)
-        new = list(wanted.difference(known["now"]))
-        if new:
-            if len(known["now"]) + len(new) > REMEMBERED:  # what isn't used again till the next time goes
-                known["old"], known["now"] = known["now"], {}
-                new = list(wanted)
-            now, old = known["now"], known["old"]
-            now.update((w, old[w]) for w in new if w in old)
-            _learn([w for w in new if w not in old], now, tokenizer)
+        part = [_words(t) for t in texts[at : at + 256]]
         now = known["now"]
-        for words in part:
-            out.append(b"".join([now[w] for w in words]) + end)
+        found = [list(map(now.get, words)) for words in part]
+        lacking = [[i for i, x in enumerate(got) if x is None] for got in found]
+        new = {words[i] for words, places in zip(part, lacking, strict=True) for i in places}
+        if new:
+            if len(now) + len(new) > REMEMBERED:  # what isn't used again till the next time goes
+                known["old"], known["now"] = now, {}
+                now = known["now"]
+            old = known["old"]
+            more = {w: old[w] for w in new if w in old}
+            _learn(new.difference(more), more, whole, letters)
+            now.update(more)
+            for words, got, places in zip(part, found, lacking, strict=True):
+                for i in places:
+                    got[i] = more[words[i]]
+        out += [b"".join(got) + end for got in found]
     return out
 
 
-_SPACES = {9: " ", 10: " ", 13: " "}
-_ODD = re.compile(r"[\t\n\r]")
+def _words(t: str) -> list[str]:
+    if t.isascii() or _latin(t):
+        t = t.lower()  # as the tokenizer does; beyond Latin-1 that is left to it
+    return t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def _latin(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
-def _learn(words: list[str], known: dict[str, bytes], tokenizer) -> None:
-    """Tokenise the words in lines of many, and cut their ids apart by where each token began."""
-    for at in range(0, len(words), 2000):
-        some = words[at : at + 2000]
-        got = tokenizer.encode("\n".join(some), add_special_tokens=False)
-        ids = np.asarray(got.ids, "<u4")
-        starts = np.cumsum([0] + [len(w) + 1 for w in some])
-        cuts = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts).tolist()
-        data = ids.tobytes()
-        known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+def _learn(words: set[str], known: dict[str, bytes], whole, letters) -> None:
+    """Tokenise the words in lines of many, and cut their ids apart by the words that the tokens belong to.
+
+    A run of letters is a piece of its own for the tokenizer, so letters with a comma or full stop behind them are those
+    letters' ids and then the mark's.
+    """
+    bases: dict[str, str] = {}
+    plain: set[str] = set()
+    odd: set[str] = {",", "."}
+    for w in words:
+        base = w[:-1] if w.endswith((",", ".")) else w
+        if base.isalpha() and base.islower() and (base.isascii() or _latin(base)):
+            plain.add(base)
+            bases[w] = base
+        else:
+            odd.add(w)
+    for some, tokenizer, sep in ((list(plain), letters, " "), (list(odd), whole, "\n")):
+        for at in range(0, len(some), 2000):
+            line = some[at : at + 2000]
+            got = tokenizer.encode(sep.join(line), add_special_tokens=False)
+            data = np.asarray(got.ids, "<u4").tobytes()
+            if tokenizer is letters:
+                cuts = np.searchsorted(np.asarray(got.word_ids, np.int64), np.arange(len(line) + 1))
+            else:
+                starts = np.cumsum([0, *map(len, line)]) + np.arange(len(line) + 1)
+                cuts = np.searchsorted([a for a, _ in got.offsets], starts)
+            cuts = (4 * cuts).tolist()
+            known.update(zip(line, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+    known.update([(w, known[b] + known[w[-1]]) for w, b in bases.items() if w is not b and len(w) > len(b)])
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -97,42 +134,26 @@ def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", sourc
     A block is what one task read. Null texts count as empty: their only id is ``END_ID``.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
-        for pdf in parts:
-            ids = encode(["" if t is None else t for t in pdf["text"]], tokenizer_path)
+        for part in (p.slice(at, 1024) for p in parts for at in range(0, len(p), 1024)):
+            ids = encode(["" if t is None else t for t in part.column("text").to_pylist()], tokenizer_path)
             n = [len(x) // 4 for x in ids]
             before = []
-            for source, k in zip(pdf["source"], n, strict=True):
+            for source, k in zip(part.column("source").to_pylist(), n, strict=True):
                 before.append(seen.get(source, 0))
                 seen[source] = before[-1] + k
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n, "ids": ids,
-                                "block": pdf["block"], "before": before})
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
+                 part.column("block"), pa.array(before, pa.int64())],
+                ["doc_id", "source", "n_tokens", "ids", "block", "before"],
+            )
 
-    rows = docs.select("doc_id", F.col(source_col).cast("string").alias("source"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.col(text_col).cast("string").alias("text"),
                        F.spark_partition_id().cast("long").alias("block"))
     schema = "doc_id long, source string, n_tokens long, ids binary, block long, before long"
-    return rows.mapInPandas(_nullable(run), schema)
-
-
-def _nullable(run):
-    """pandas turns a long column with nulls into floats; keep it as objects."""
-
-    def wrapped(parts):
-        for pdf in run(_objects(p) for p in parts):
-            if "doc_id" in pdf and pdf["doc_id"].dtype == object:
-                pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            yield pdf
-
-    return wrapped
-
-
-def _objects(pdf: pd.DataFrame) -> pd.DataFrame:
-    if pdf["doc_id"].dtype.kind == "f":  # a batch with a null id
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-    pdf = pdf.assign(**{c: pdf[c].astype(object).where(pdf[c].notna(), None) for c in pdf if pdf[c].dtype == object})
-    return pdf
+    return rows.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------------------------------------------- schedule
@@ -170,7 +191,7 @@ class Schedule:
             queues = rest  # at least one ran dry: one token more would not have fitted
         self.starts = [p[0] for p in self.phases]
         self.total = sum(self.sizes)
-        self._cut: dict[int, list[int]] = {}
+        self._cut: dict[int, tuple[list[int], list[int]]] = {}
 
     def split(self, queues: list[int], m: int) -> list[int]:
         """How the first m tokens fall on the queues, down the binary tree."""
@@ -192,11 +213,13 @@ class Schedule:
             out[j] += k
         return out
 
-    def at(self, window: int) -> list[int]:
+    def at(self, window: int) -> tuple[list[int], list[int]]:
+        """Tokens of each queue before the window, and where each queue's tokens begin in it."""
         if window not in self._cut:
             if len(self._cut) > 50_000:
                 self._cut.clear()
-            self._cut[window] = self.used(window * WINDOW)
+            a, b = self.used(window * WINDOW), self.used((window + 1) * WINDOW)
+            self._cut[window] = a, [0, *accumulate(y - x for x, y in zip(a, b, strict=True))]
         return self._cut[window]
 
     def window_of(self, queue: int, token: int) -> int:
@@ -204,20 +227,20 @@ class Schedule:
         low, high = 0, -(-self.total // WINDOW) - 1
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.at(mid)[queue] <= token else (low, mid - 1)
+            low, high = (mid, high) if self.used(mid * WINDOW)[queue] <= token else (low, mid - 1)
         return low
 
     def pieces(self, queue: int, first: int, n: int, window: int | None = None) -> Iterator[tuple[int, int, int, int]]:
         """(start, length, window, offset) of the pieces of a document that begins at the queue's token ``first``."""
         k, done = self.window_of(queue, first) if window is None else window, 0
         while done < n:
-            a, b = self.at(k), self.at(k + 1)
-            if b[queue] <= first + done:
+            before, begin = self.at(k)
+            inside = first + done - before[queue]
+            take = min(n - done, begin[queue + 1] - begin[queue] - inside)
+            if take <= 0:
                 k += 1
                 continue
-            take = min(n - done, b[queue] - first - done)
-            offset = sum(b[j] - a[j] for j in range(queue)) + first + done - a[queue]
-            yield done, take, k, offset
+            yield done, take, k, begin[queue] + inside
             done += take
 
 
@@ -255,8 +278,6 @@ def pack(
                         integer_weights(wanted) if proportions is not None else [max(1, n) for n in wanted])
     queue_of = {s: j for j, (s, _) in enumerate(totals)}
 
-    from pyspark.sql import Window
-
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select(F.col("source").alias("_source"), F.col("block").alias("_block"),
                         F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("block_first"))
@@ -265,27 +286,32 @@ def pack(
     placed = tokens.join(first, met).select(
         "doc_id", "source", "n_tokens", "ids", (F.col("block_first") + F.col("before")).alias("first"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[int, int]] = {}  # queue: token, window; the next document mostly begins there
-        for pdf in parts:
-            out: list[tuple] = []
-            for doc, source, n, ids, at in zip(*(pdf[c] for c in ("doc_id", "source", "n_tokens", "ids", "first")), strict=True):
+        for part in (p.slice(at, 1024) for p in parts for at in range(0, len(p), 1024)):
+            row, starts, lengths, ids, windows, offsets = [], [], [], [], [], []
+            columns = (part.column(c).to_pylist() for c in ("source", "n_tokens", "ids", "first"))
+            for i, (source, n, data, at) in enumerate(zip(*columns, strict=True)):
                 queue = queue_of[source]
-                window = last[queue][1] if last.get(queue, (-1,))[0] == at else None
-                for start, length, k, offset in schedule.pieces(queue, at, n, window):
-                    out.append((doc, source, start, length, ids[4 * start : 4 * (start + length)], n, k, offset))
+                known = last.get(queue)
+                for start, length, k, offset in schedule.pieces(queue, at, n, known[1] if known and known[0] == at else None):
+                    row.append(i)
+                    starts.append(start)
+                    lengths.append(length)
+                    ids.append(data[4 * start : 4 * (start + length)])
+                    windows.append(k)
+                    offsets.append(offset)
                 last[queue] = (at + n, k)
-                if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=_PIECE)
-                    out = []
-            yield pd.DataFrame(out, columns=_PIECE)
+            row = pa.array(row, pa.int64())
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(row), part.column("source").take(row), long(starts), long(lengths),
+                 pa.array(ids, pa.binary()), part.column("n_tokens").take(row), long(windows), long(offsets)],
+                _PIECE,
+            )
 
     schema = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInPandas(_nullable(run), schema)
+    return placed.mapInArrow(run, schema)
 
 
 _PIECE = ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
