@@ -15,18 +15,26 @@ from pyspark.sql import SparkSession
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Python workers give large arrays back to the system as soon as they are freed.
+_ENVIRONMENT = {
+    "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to this application's Python workers, once; on a cluster it need not be installed there.
 
-    Also lowers the size of their batches if it is Spark's default.
+    Also lowers the size of their batches if it is Spark's default, and sets how they free memory.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
+    for name, value in _ENVIRONMENT.items():
+        spark.sparkContext.environment.setdefault(name, value)
     if spark.conf.get(_BATCH) == "10000":  # Spark's default
         spark.conf.set(_BATCH, BATCH_ROWS)
     root = Path(__file__).resolve().parent
