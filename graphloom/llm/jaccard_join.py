@@ -13,8 +13,10 @@ partners there, by the next band's.
 
 A set only needs H + 1 worth of its segments. Which ones is decided by cost once bucket sizes are known: buckets of one
 set are free. A set whose free segments are enough has no partner at all and goes; another keeps its cheapest ones.
-Buckets are first linked to one member each; pairs across the components that this leaves are then all tried. Every
-pair that is tried is verified on the sets themselves.
+Of the sets that are left, shingles that only one set has are counted: they differ in any pair, so two sets with too
+many of them between them are no pair. In each bucket the set with the fewest is the likeliest partner of all others
+and is tried first; pairs across the components that this leaves are then all tried. Every pair that is tried is
+verified on the sets themselves.
 
 Sets are told apart by a 63-bit digest of their 64-bit shingle hashes, so copies count once from the start.
 """
@@ -170,8 +172,9 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 continue
             many = sum(plan(j)[0] + (len(s) if plan(j)[1] == 2 else 0) for _, j in roles(len(s)))
             out.append((len(s), key_of(s) - (1 << 63), many))
-        got = pd.DataFrame(out, columns=["n", "key", "n_signatures"])
-        return got.assign(key=got["key"].astype("Int64"))
+        # as objects: beside a None, pandas would make floats of the keys
+        got = pd.DataFrame(out, columns=["n", "key", "n_signatures"], dtype=object)
+        return got.astype({"n": "int64", "key": "Int64", "n_signatures": "int64"})
 
     got = docs.select(F.col(id_col).alias("doc_id"), look(F.col(text_col).cast("string")).alias("got"))
     return got.select("doc_id", F.col("got.n").alias("n_shingles"), F.col("got.key").alias("key"), "got.n_signatures")
@@ -182,13 +185,12 @@ def _index(tasks: int):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            texts = encoded(pdf["text"])
-            for at in range(0, len(texts), 1000):
-                yield from batch(texts[at : at + 1000])
+            for at in range(0, len(pdf), 1000):
+                yield from batch(pdf["text"].iloc[at : at + 1000])
 
-    def batch(texts: list[bytes]) -> Iterator[pd.DataFrame]:
+    def batch(texts: pd.Series) -> Iterator[pd.DataFrame]:
         sigs, units, seen, facts = [], [], set(), []
-        for w in word_hashes(texts):
+        for w in word_hashes(encoded(texts)):
             s = set_of(w)
             if not len(s) or (key := key_of(s)) in seen:
                 continue
@@ -281,9 +283,12 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
     @F.pandas_udf("key long, set binary")
     def sets(texts: pd.Series) -> pd.DataFrame:
-        found = [set_of(w) for w in word_hashes(encoded(texts))]
-        keys = [key_of(s) - (1 << 63) if len(s) else None for s in found]
-        return pd.DataFrame({"key": pd.array(keys, "Int64"), "set": [s.tobytes() for s in found]})
+        keys, made = [], []
+        for w in word_hashes(encoded(texts)):
+            s = set_of(w)
+            keys.append(key_of(s) - (1 << 63) if len(s) else None)
+            made.append(s.tobytes())
+        return pd.DataFrame({"key": pd.array(keys, "Int64"), "set": made})
 
     return some.select("id", sets("text").alias("got")).select("id", "got.key", "got.set")
 
@@ -299,6 +304,23 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _jaccard_lack(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Also the shingles of b that a lacks, if a pair of a's size could differ in so many; null otherwise."""
+    lacks = []
+    for x, y in zip(a, b, strict=True):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        lack = np.setdiff1d(y, x, assume_unique=True)
+        lacks.append(_signed(lack).tolist() if len(lack) <= differ(len(x), largest(len(x))) else None)
+    return pd.DataFrame({"jaccard": _jaccard(a, b), "lack": lacks})
+
+
+def with_lack(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    left = sets.select(F.col("id").alias(a), F.col("set").alias("_x"))
+    right = sets.select(F.col("id").alias(b), F.col("set").alias("_y"))
+    got = F.pandas_udf(_jaccard_lack, "jaccard double, lack array<long>")("_x", "_y").alias("_got")
+    return pairs.join(left, a).join(right, b).select(*pairs.columns, got).select(*pairs.columns, "_got.jaccard", "_got.lack")
+
+
 def with_jaccard(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     left = sets.select(F.col("id").alias(a), F.col("set").alias("_x"))
     right = sets.select(F.col("id").alias(b), F.col("set").alias("_y"))
@@ -354,39 +376,89 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = set_table(docs, ids, id_col, text_col).select(F.col("key").alias("id"), "set")
     sets = materialise(sets.join(keys, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["id"]), "sets")
 
+    # Shingles that no other of these sets has differ in every pair: D(a, b) >= alone(a) + alone(b).
+    rows = rows.join(unshared(sets), "key", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rows = rows.where(f"{DEN + NUM} * alone <= {DEN - NUM} * (n + n * {DEN} div {NUM})")
+    rows = materialise(rows, "hopeful")
+
     tried = links = label = None
+    none = F.array().cast("array<long>")
+    rows = rows.withColumns({"lead": F.col("key"), "miss": F.lit(0).cast("long"), "lack": none})
     for step in ("first", "last", "all"):
         pairs = _pairs(rows, label, step)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, f"pairs_{step}")
-        good = with_jaccard(pairs, sets, "a", "b").where(F.col("jaccard") >= NUM / DEN).select("a", "b")
-        good = materialise(good, f"links_{step}")
+        checked = with_lack(pairs, sets, "key", "key_") if step == "first" else with_jaccard(pairs, sets, "a", "b")
+        checked = materialise(checked, f"checked_{step}")
+        good = checked.where(F.col("jaccard") >= NUM / DEN).select("a", "b")
         links = good if links is None else links.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
+        if step == "first":
+            led = rows.drop("lead", "miss", "lack").join(leads(checked), "key", "left")
+            rows = materialise(led.withColumns({
+                "lack": F.when(F.col("lead").isNull(), none).otherwise(F.col("lack")),
+                "lead": F.coalesce("lead", "key"), "miss": F.coalesce("miss", F.lit(0))}), "led")
         if step != "all" and not good.isEmpty():
             label = components(links)
     return described, links
 
 
+def leads(checked: DataFrame) -> DataFrame:
+    """(key, lead, miss, lack): the likeliest partner that a set was compared with, how many of its shingles the set
+    lacks, and which, if they aren't too many.
+
+    Sets a and b with the same lead p differ at least in the shingles that only a or only b has, and in those of p that
+    one of them lacks and the other doesn't: alone(a) + alone(b) + |lack(a) symmetric difference lack(b)|, or at least
+    |miss(a) - miss(b)|. A pair of a set and its lead was tried already, so it doesn't matter that the bound says too
+    much there.
+    """
+    both = F.round(F.col("jaccard") * (F.col("n") + F.col("n_")) / (1 + F.col("jaccard"))).cast("long")
+    best = F.min(F.struct("alone_", "key_", (F.col("n_") - both).alias("miss"), "lack")).alias("best")
+    return checked.groupBy("key").agg(best).select("key", F.col("best.key_").alias("lead"), "best.miss", "best.lack")
+
+
+def unshared(sets: DataFrame) -> DataFrame:
+    """(key, alone): how many shingles of each set are in no other one. Shingles that sets of one batch share go on as
+    one row, so a very common one costs a row per batch."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            made = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+            h = np.concatenate(made)
+            key = np.repeat(pdf["id"].to_numpy(np.int64), [len(x) for x in made])
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            yield pd.DataFrame({"h": _signed(h), "key": key[first], "n": np.minimum(n, 2).astype(np.int32)})
+
+    found = sets.mapInPandas(run, "h long, key long, n int").groupBy("h").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    return found.where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def _pairs(rows: DataFrame, label: DataFrame | None, step: str) -> DataFrame:
-    """Pairs to verify: every member of a bucket with its first (last) one; or all that are not connected yet."""
+    """Pairs to verify: each member of a bucket with the one that has the fewest shingles to itself, then with the last
+    one; at the end all that are not connected yet. Pairs whose own shingles alone make them differ too much are out."""
     now = rows.withColumn("component", F.col("key"))
     if label is not None:  # buckets whose members are connected have nothing left to tell
         now = rows.join(label.withColumnRenamed("node", "key"), "key", "left")
         now = now.withColumn("component", F.coalesce("component", "key"))
         mixed = now.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         now = materialise(now.join(mixed.select("sig"), "sig", "left_semi"), "open_buckets")
-    columns = ["key", "upper", "n", "kept", "component"]
+    columns = ["alone", "key", "upper", "n", "kept", "component", "lead", "miss", "lack"]
     if step == "all":
         other = now.select("sig", *[F.col(c).alias(f"{c}_") for c in columns])
         met = now.join(other, "sig").where("key < key_ and (kept or kept_)")
     else:
-        head = now.groupBy("sig").agg((F.min if step == "first" else F.max)(F.struct(*columns)).alias("h"))
+        order = columns if step == "first" else ["key", *[c for c in columns if c != "key"]]
+        head = now.groupBy("sig").agg((F.min if step == "first" else F.max)(F.struct(*order)).alias("h"))
         met = now.join(head.select("sig", *[F.col(f"h.{c}").alias(f"{c}_") for c in columns]), "sig").where("key <> key_")
     met = met.where("component <> component_ and upper + upper_ < 2")
-    met = met.where(f"{DEN} * least(n, n_) >= {NUM} * greatest(n, n_)")
-    return met.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).distinct()
+    met = met.where(f"{DEN} * least(n, n_) >= {NUM} * greatest(n, n_) and {DEN + NUM} * (alone + alone_) <= {DEN - NUM} * (n + n_)")
+    apart = "coalesce(size(array_except(lack, lack_)) + size(array_except(lack_, lack)), abs(miss - miss_))"
+    met = met.where(f"lead <> lead_ or {DEN + NUM} * (alone + alone_ + {apart}) <= {DEN - NUM} * (n + n_)")
+    pair = [F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")]
+    return met.select(*pair, *(["key", "key_", "n", "n_", "alone_"] if step == "first" else [])).distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

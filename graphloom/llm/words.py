@@ -7,13 +7,13 @@ shingle as a whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 WIDTH = 5
 #: Bytes that are hashed at a time; longer texts go through in parts cut at white space.
-PART = 1 << 20
+PART = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,30 +76,28 @@ def _parts(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """The hashes of each text's words, in order."""
-    out: list[np.ndarray] = []
+def word_hashes(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, in order; about PART bytes of texts are held at a time."""
     group: list[bytes] = []
     held = 0
 
-    def flush() -> None:
+    def hashed() -> Iterator[np.ndarray]:
         if group:
             h, start = _hash_part(b" ".join(group))
             ends = np.cumsum([len(t) + 1 for t in group])
-            out.extend(np.split(h, np.searchsorted(start, ends[:-1])))
             group.clear()
+            yield from np.split(h, np.searchsorted(start, ends[:-1]))
 
     for t in texts:
         if held + len(t) > PART:
-            flush()
+            yield from hashed()
             held = 0
         if len(t) > PART:
-            out.append(np.concatenate([_hash_part(p)[0] for p in _parts(t)]))
+            yield np.concatenate([_hash_part(p)[0] for p in _parts(t)])
         else:
             group.append(t)
             held += len(t) + 1
-    flush()
-    return out
+    yield from hashed()
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
@@ -115,5 +113,5 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def encoded(texts) -> list[bytes]:
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+def encoded(texts) -> Iterator[bytes]:
+    return (b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts)
