@@ -59,7 +59,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    return packed(minima(shingle_hashes(word_hashes(encoded([text]))[0])))
+    return packed(minima(shingle_hashes(next(word_hashes(encoded([text]))))))
 
 
 def edited(text: str, following: str) -> str:
@@ -72,7 +72,7 @@ def _pair(text: str, words: np.ndarray, following: str) -> tuple[str, np.ndarray
     """The edited text's hash and the minima of the text and of the edited text, whose common shingles count once."""
     other = edited(text, following)
     data = other.encode("utf-8", "surrogatepass")
-    new = word_hashes([data])[0]
+    new = next(word_hashes([data]))
     n = min(len(words), len(new))
     differ = np.flatnonzero(words[:n] != new[:n])
     same = int(differ[0]) if len(differ) else n
@@ -104,7 +104,7 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = None
     for pdf in parts:
         out = []
-        ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
+        ids = [None if i is None else int(i) for i in pdf["id"]]
         texts = ["" if t is None else t for t in pdf["text"]]
         words = word_hashes(encoded(texts))
         if held is None and texts:
@@ -120,16 +120,16 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    return out.assign(**{c: out[c].astype("Int64") for c in ("doc_id", "n_chars", "place")})
+    out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)  # whole numbers beside nulls stay whole
+    return out.astype({"doc_id": "Int64", "n_chars": "Int64", "place": "Int64", "near_edited": "float64", "near_next": "float64"})
 
 
 def _edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         out = []
-        for doc, text, following in zip(pdf["doc_id"], pdf["text"], pdf["following"], strict=True):
+        for doc, text, following in zip(pdf["id"], pdf["text"], pdf["following"], strict=True):
             a, b = word_hashes(encoded([text, following]))
-            out.append(_row(None if pd.isna(doc) else int(doc), text, a, following, packed(minima(shingle_hashes(b)))))
+            out.append(_row(None if doc is None else int(doc), text, a, following, packed(minima(shingle_hashes(b)))))
         yield _frame(out)
 
 
@@ -146,6 +146,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last()]
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("text"))
+    parts = parts.select(F.col("doc_id").cast("string").alias("id"), "text")
     done = materialise(parts.mapInPandas(_in_order, _SCHEMA), "fingerprints")
     columns = _COLUMNS[:7]
     inner = done.where("edge is null").select(columns)
@@ -156,7 +157,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chain = chain.select(F.col("place").alias("_place"), F.coalesce("next", "start").alias("_next"))
     last = done.where("edge = 'last'").select("doc_id", F.col("edge_text").alias("text"), "place")
     met = last.join(chain, F.col("place") == F.col("_place")).drop("place")
-    met = met.join(first, F.col("_next") == F.col("place")).select("doc_id", "text", "following")
+    met = met.join(first, F.col("_next") == F.col("place")).select(F.col("doc_id").cast("string").alias("id"), "text", "following")
     return inner.unionByName(met.mapInPandas(_edges, _SCHEMA).select(columns))
 
 
@@ -165,7 +166,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("array<int>")
     def make(texts: pd.Series) -> pd.Series:
-        found = [shingle_hashes(w) for w in word_hashes(encoded(texts))]
+        found = (shingle_hashes(w) for w in word_hashes(encoded(texts)))
         return pd.Series([packed(minima(s)).astype("int32") if len(s) else None for s in found], dtype=object)
 
     return docs.select(F.col(id_col).alias("doc_id"), make(F.col(text_col).cast("string")).alias("fingerprint"))

@@ -18,10 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import sized_join
 from graphloom.storage import materialise
 
 #: A branch goes if its importance, between 0 and 1, is below this ...
@@ -41,7 +40,8 @@ _DROP = frozenset(
 )
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr script style template noscript iframe svg math canvas object audio video "
+    "map select button input textarea".split()
 )
 #: Words in class, id or role that mark a branch as something other than the article.
 _WORDS = frozenset(
@@ -178,8 +178,6 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
             children.setdefault(parent.path, []).append(full)
             article = parent.article or name in ("article", "main")
             dropped = parent.dropped or bad or name in _DROP or (name == "header" and not parent.article)
-            if dropped and not parent.dropped and name in _INLINE:
-                held.append(" ")
             stack.append(Element(name, full, path, dropped, article))
             if name in _RAW:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)

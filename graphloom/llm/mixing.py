@@ -127,7 +127,8 @@ def position(word: Column, target: Column, start: Column, end: Column) -> Column
     share = F.when(target > 0, F.least(F.lit(1.0), word / target)).otherwise(F.lit(0.0))
     slope, area = end - start, share * (start + end) / 2
     root = F.sqrt(F.greatest(F.lit(0.0), start * start + 2 * slope * area))
-    return F.when(F.abs(slope) < 1e-12, share).otherwise(F.least(F.lit(1.0), 2 * area / (start + root)))
+    found = F.coalesce(F.try_divide(2 * area, start + root), F.lit(0.0))
+    return F.when(F.abs(slope) < 1e-12, share).otherwise(F.least(F.lit(1.0), found))
 
 
 def curriculum(rank: Column) -> tuple[Column, Column]:

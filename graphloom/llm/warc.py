@@ -100,7 +100,6 @@ def write(records: DataFrame, path: str | None = None) -> DataFrame:
                 if out is None:
                     name, done, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
                 head = record_header(page, url, int(length), digest, refers, uuid.uuid4().urn, date)
                 member = zlib.compressobj(1, zlib.DEFLATED, 31)
                 size += out.write(member.compress(head))
@@ -119,6 +118,8 @@ def write(records: DataFrame, path: str | None = None) -> DataFrame:
             out.close()
             yield pd.DataFrame({"archive": [name], "records": [done], "bytes": [size]})
 
+    # Ids as text: pandas would make floats of whole numbers beside nulls.
+    records = records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     made = records.mapInPandas(run, "archive string, records long, bytes long")
     listed = materialise(made, "archives")
     return listed.withColumn("archive", F.concat(F.lit(f"{path}/"), "archive"))
@@ -212,8 +213,8 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def _chunks(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_CHUNK_COLUMNS)
-    return out.assign(**{c: out[c].astype("Int64") for c in ("page_id", "refers_to", "payload_bytes", "bytes_so_far", "chunk")})
+    out = pd.DataFrame(rows, columns=_CHUNK_COLUMNS, dtype=object)
+    return out.astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes", "bytes_so_far", "chunk")})
 
 
 def summary(chunks: DataFrame) -> DataFrame:
