@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -45,3 +46,17 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(target)
+
+
+#: What a Python worker remembers from one task to the next, by kind of work, with a function that forgets it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(kind: str, forget: Callable[[], None]) -> None:
+    _held[kind] = forget
+
+
+def turn_to(kind: str) -> None:
+    """Called as a worker starts on some kind of work: what it remembers for other kinds goes."""
+    for other in [k for k in _held if k != kind]:
+        _held.pop(other)()
