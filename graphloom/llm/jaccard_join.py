@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 from .exact_dedup import sized_join
+from graphloom.runtime import turn_to
 from graphloom.storage import materialise
 from .words import encoded, mix, shingle_hashes, word_hashes
 
@@ -164,6 +165,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     @F.pandas_udf("n long, key long, n_signatures long")
     def look(texts: pd.Series) -> pd.DataFrame:
+        turn_to("sets")
         out = []
         for w in word_hashes(encoded(texts)):
             s = set_of(w)
@@ -184,6 +186,7 @@ def _index(tasks: int):
     """Texts -> a blob of (signature, unit) pairs for each bucket task, hot signatures apart; and the units' figures."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("sets")
         for pdf in parts:
             for at in range(0, len(pdf), 1000):
                 yield from batch(pdf["text"].iloc[at : at + 1000])
@@ -236,6 +239,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _buckets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs of signatures that two or more units share; hot ones as they are; the figures of units."""
+    turn_to("sets")
     held = []
     for pdf in parts:
         for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.runtime import holds
 from graphloom.storage import materialise
 
 WINDOW = 4096
@@ -50,6 +51,7 @@ def _tokenizer(path: str) -> tuple:
             [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         _tokenizers[path] = whole, letters, {"now": {}, "old": {}}
+        holds("tokens", _tokenizers.clear)
     return _tokenizers[path]
 
 

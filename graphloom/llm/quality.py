@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import turn_to
+
 PIECE = 4096
 LEVEL = 3
 #: Bytes of a dictionary.
@@ -165,6 +167,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
+        turn_to("quality")
         m = held.value
         if not len(texts):
             return pd.Series([], dtype="float64")
