@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,3 +49,10 @@ def drop_scratch(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished plans now; it would otherwise wait for the driver's next
+    garbage collection, which may be long after a large table was stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

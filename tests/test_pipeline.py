@@ -40,7 +40,7 @@ def test_stream_equals_batch_and_pipeline(spark, tmp_path):
     pipeline.run_pipeline(one, out)
     assert len(names(one, "nodes_layout")) == 13
     by = dict(names(one, "cluster_assignments"))
-    assert by["a1"] == by["a2"] != by["b1"]
+    assert {by[f"a{i}"] for i in range(6)}.isdisjoint({by[f"b{i}"] for i in range(6)})
     assert {r[2] for r in names(one, "cluster_colors")} >= {"Ships", "Trains"}
     assert list((tmp_path / "out/tiles_edges/0").rglob("*.png")) and list((tmp_path / "out/z/6").glob("nodes_*.json"))
     node = json.loads(next((tmp_path / "out/z/7").glob("nodes_*.json")).read_text())[0]
