@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.components import components
 from .exact_dedup import sized_join
 from graphloom.runtime import turn_to
-from graphloom.storage import materialise
+from graphloom.storage import free_shuffles, materialise
 from .words import encoded, mix, shingle_hashes, word_hashes
 
 #: Jaccard similarity as a fraction of whole numbers, compared without rounding: 100 * both >= 80 * either.
@@ -353,6 +353,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blobs = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(_index(tasks), "part int, kind int, blob binary")
     found = blobs.repartition(tasks, "part").mapInPandas(_typed(_buckets), ", ".join(f"{c} long" for c in _FOUND))
     found = materialise(found, "buckets")
+    free_shuffles(spark)
 
     units = found.where("sig is null").select("unit", "n", "have", "worth", "most").distinct()
     rows = found.where("sig is not null").select("sig", "unit").distinct()
@@ -384,6 +385,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(unshared(sets), "key", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     rows = rows.where(f"{DEN + NUM} * alone <= {DEN - NUM} * (n + n * {DEN} div {NUM})")
     rows = materialise(rows, "hopeful")
+    free_shuffles(spark)
 
     tried = links = label = None
     none = F.array().cast("array<long>")
@@ -395,6 +397,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = materialise(pairs, f"pairs_{step}")
         checked = with_lack(pairs, sets, "key", "key_") if step == "first" else with_jaccard(pairs, sets, "a", "b")
         checked = materialise(checked, f"checked_{step}")
+        free_shuffles(spark)
         good = checked.where(F.col("jaccard") >= NUM / DEN).select("a", "b")
         links = good if links is None else links.unionByName(good)
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
