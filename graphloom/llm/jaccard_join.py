@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.components import components
 from .exact_dedup import sized_join
 from graphloom.runtime import turn_to
-from graphloom.storage import free_shuffles, materialise
+from graphloom.storage import free_shuffles, materialise, release
 from .words import encoded, mix, shingle_hashes, word_hashes
 
 #: Jaccard similarity as a fraction of whole numbers, compared without rounding: 100 * both >= 80 * either.
@@ -308,21 +308,20 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _jaccard_lack(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Also the shingles of b that a lacks, if a pair of a's size could differ in so many; null otherwise."""
-    lacks = []
+def _lack(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The shingles of b that a lacks, by 32 bits of each, if a pair of a's size could differ in so many; null otherwise."""
+    out = []
     for x, y in zip(a, b, strict=True):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         lack = np.setdiff1d(y, x, assume_unique=True)
-        lacks.append(_signed(lack).tolist() if len(lack) <= differ(len(x), largest(len(x))) else None)
-    return pd.DataFrame({"jaccard": _jaccard(a, b), "lack": lacks})
+        out.append((lack >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(lack) <= differ(len(x), largest(len(x))) else None)
+    return pd.Series(out, dtype=object)
 
 
 def with_lack(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     left = sets.select(F.col("id").alias(a), F.col("set").alias("_x"))
     right = sets.select(F.col("id").alias(b), F.col("set").alias("_y"))
-    got = F.pandas_udf(_jaccard_lack, "jaccard double, lack array<long>")("_x", "_y").alias("_got")
-    return pairs.join(left, a).join(right, b).select(*pairs.columns, got).select(*pairs.columns, "_got.jaccard", "_got.lack")
+    return pairs.join(left, a).join(right, b).select(*pairs.columns, F.pandas_udf(_lack, "array<int>")("_x", "_y").alias("lack"))
 
 
 def with_jaccard(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
@@ -373,6 +372,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.col("unit").bitwiseAND(F.lit(-2))
     rows = rows.select("sig", key.alias("key"), F.col("unit").bitwiseAND(1).alias("upper"), "n", kept.alias("kept"))
     rows = materialise(rows, "candidates")
+    release(found)
+    free_shuffles(spark)
 
     # The sets themselves, from one document of each key.
     keys = materialise(rows.select("key").distinct(), "keys")
@@ -382,47 +383,76 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = materialise(sets.join(keys, F.col("id") == F.col("key"), "left_semi").dropDuplicates(["id"]), "sets")
 
     # Shingles that no other of these sets has differ in every pair: D(a, b) >= alone(a) + alone(b).
+    candidates = rows
     rows = rows.join(unshared(sets), "key", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     rows = rows.where(f"{DEN + NUM} * alone <= {DEN - NUM} * (n + n * {DEN} div {NUM})")
-    rows = materialise(rows, "hopeful")
+    hopeful = materialise(rows, "hopeful")
+    release(candidates)
+    rows = hopeful
     free_shuffles(spark)
 
-    tried = links = label = None
-    none = F.array().cast("array<long>")
-    rows = rows.withColumns({"lead": F.col("key"), "miss": F.lit(0).cast("long"), "lack": none})
-    for step in ("first", "last", "all"):
-        pairs = _pairs(rows, label, step)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"pairs_{step}")
-        checked = with_lack(pairs, sets, "key", "key_") if step == "first" else with_jaccard(pairs, sets, "a", "b")
-        checked = materialise(checked, f"checked_{step}")
+    pairs = materialise(_pairs(rows.withColumn("component", F.col("key")), "first"), "pairs_first")
+    checked = materialise(with_jaccard(pairs, sets, "key", "key_"), "checked_first")
+    release(pairs)
+    free_shuffles(spark)
+    tried = checked.select("a", "b")
+    links = checked.where(F.col("jaccard") >= NUM / DEN).select("a", "b")
+    label = None if links.isEmpty() else components(links)
+    still = materialise(open_buckets(rows, label), "open")
+    release(rows)
+    rows = materialise(with_leads(still, leads(checked), sets), "led")
+    release(still)
+    for step in ("last", "all"):
+        pairs = materialise(_pairs(rows, step).join(tried, ["a", "b"], "left_anti"), f"pairs_{step}")
+        checked = materialise(with_jaccard(pairs, sets, "a", "b"), f"checked_{step}")
+        release(pairs)
         free_shuffles(spark)
         good = checked.where(F.col("jaccard") >= NUM / DEN).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        if step == "first":
-            led = rows.drop("lead", "miss", "lack").join(leads(checked), "key", "left")
-            rows = materialise(led.withColumns({
-                "lack": F.when(F.col("lead").isNull(), none).otherwise(F.col("lack")),
-                "lead": F.coalesce("lead", "key"), "miss": F.coalesce("miss", F.lit(0))}), "led")
-        if step != "all" and not good.isEmpty():
-            label = components(links)
+        links = links.unionByName(good)
+        tried = tried.unionByName(checked.select("a", "b"))
+        if step == "last" and not good.isEmpty():
+            still = materialise(open_buckets(rows.drop("component"), components(links)), "open")
+            release(rows)
+            rows = still
+    release(rows, sets)
     return described, links
 
 
+def open_buckets(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows of buckets whose members aren't all connected, with their component; other buckets have nothing left to
+    tell, now or after more links. Of buckets with the same members one stays, told by a 128-bit digest of them."""
+    if label is None:
+        now = rows.withColumn("component", F.col("key"))
+    else:
+        now = rows.join(label.withColumnRenamed("node", "key"), "key", "left")
+        now = now.withColumn("component", F.coalesce("component", "key"))
+    member = [F.bit_xor(F.xxhash64(F.lit(i), "key", "upper", "kept")).alias(f"digest{i}") for i in (1, 2)]
+    ends = now.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), *member)
+    one = ends.where("lo <> hi").groupBy("members", "digest1", "digest2").agg(F.min("sig").alias("sig"))
+    return now.join(one.select("sig"), "sig", "left_semi")
+
+
 def leads(checked: DataFrame) -> DataFrame:
-    """(key, lead, miss, lack): the likeliest partner that a set was compared with, how many of its shingles the set
-    lacks, and which, if they aren't too many.
+    """(key, lead, miss): the likeliest partner that a set was compared with, and how many of its shingles the set lacks."""
+    both = F.round(F.col("jaccard") * (F.col("n") + F.col("n_")) / (1 + F.col("jaccard"))).cast("long")
+    best = F.min(F.struct("alone_", "key_", (F.col("n_") - both).alias("miss"))).alias("best")
+    return checked.groupBy("key").agg(best).select("key", F.col("best.key_").alias("lead"), "best.miss")
+
+
+def with_leads(rows: DataFrame, lead: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds lead, miss and lack (the lead's shingles that the set lacks, if they aren't too many) to each row; a set that
+    was compared with none leads itself.
 
     Sets a and b with the same lead p differ at least in the shingles that only a or only b has, and in those of p that
     one of them lacks and the other doesn't: alone(a) + alone(b) + |lack(a) symmetric difference lack(b)|, or at least
-    |miss(a) - miss(b)|. A pair of a set and its lead was tried already, so it doesn't matter that the bound says too
-    much there.
+    |miss(a) - miss(b)|. Shingles that share their 32 bits only make the difference smaller. A pair of a set and its lead
+    was tried already, so it doesn't matter that the bound says too much there.
     """
-    both = F.round(F.col("jaccard") * (F.col("n") + F.col("n_")) / (1 + F.col("jaccard"))).cast("long")
-    best = F.min(F.struct("alone_", "key_", (F.col("n_") - both).alias("miss"), "lack")).alias("best")
-    return checked.groupBy("key").agg(best).select("key", F.col("best.key_").alias("lead"), "best.miss", "best.lack")
+    some = materialise(lead.join(rows.select("key").distinct(), "key", "left_semi"), "leads")
+    lacks = materialise(with_lack(some, sets, "key", "lead"), "lacks")
+    return rows.join(lacks, "key", "left").withColumns({
+        "lack": F.when(F.col("lead").isNull(), F.array().cast("array<int>")).otherwise(F.col("lack")),
+        "lead": F.coalesce("lead", "key"), "miss": F.coalesce("miss", F.lit(0))})
 
 
 def unshared(sets: DataFrame) -> DataFrame:
@@ -443,27 +473,22 @@ def unshared(sets: DataFrame) -> DataFrame:
     return found.where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def _pairs(rows: DataFrame, label: DataFrame | None, step: str) -> DataFrame:
+def _pairs(rows: DataFrame, step: str) -> DataFrame:
     """Pairs to verify: each member of a bucket with the one that has the fewest shingles to itself, then with the last
     one; at the end all that are not connected yet. Pairs whose own shingles alone make them differ too much are out."""
-    now = rows.withColumn("component", F.col("key"))
-    if label is not None:  # buckets whose members are connected have nothing left to tell
-        now = rows.join(label.withColumnRenamed("node", "key"), "key", "left")
-        now = now.withColumn("component", F.coalesce("component", "key"))
-        mixed = now.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        now = materialise(now.join(mixed.select("sig"), "sig", "left_semi"), "open_buckets")
-    columns = ["alone", "key", "upper", "n", "kept", "component", "lead", "miss", "lack"]
+    columns = ["alone", "key", "upper", "n", "kept", "component"] + ["lead", "miss", "lack"] * (step != "first")
     if step == "all":
-        other = now.select("sig", *[F.col(c).alias(f"{c}_") for c in columns])
-        met = now.join(other, "sig").where("key < key_ and (kept or kept_)")
+        other = rows.select("sig", *[F.col(c).alias(f"{c}_") for c in columns])
+        met = rows.join(other, "sig").where("key < key_ and (kept or kept_)")
     else:
         order = columns if step == "first" else ["key", *[c for c in columns if c != "key"]]
-        head = now.groupBy("sig").agg((F.min if step == "first" else F.max)(F.struct(*order)).alias("h"))
-        met = now.join(head.select("sig", *[F.col(f"h.{c}").alias(f"{c}_") for c in columns]), "sig").where("key <> key_")
+        head = rows.groupBy("sig").agg((F.min if step == "first" else F.max)(F.struct(*order)).alias("h"))
+        met = rows.join(head.select("sig", *[F.col(f"h.{c}").alias(f"{c}_") for c in columns]), "sig").where("key <> key_")
     met = met.where("component <> component_ and upper + upper_ < 2")
     met = met.where(f"{DEN} * least(n, n_) >= {NUM} * greatest(n, n_) and {DEN + NUM} * (alone + alone_) <= {DEN - NUM} * (n + n_)")
-    apart = "coalesce(size(array_except(lack, lack_)) + size(array_except(lack_, lack)), abs(miss - miss_))"
-    met = met.where(f"lead <> lead_ or {DEN + NUM} * (alone + alone_ + {apart}) <= {DEN - NUM} * (n + n_)")
+    if step != "first":
+        apart = "coalesce(size(array_except(lack, lack_)) + size(array_except(lack_, lack)), abs(miss - miss_))"
+        met = met.where(f"lead <> lead_ or {DEN + NUM} * (alone + alone_ + {apart}) <= {DEN - NUM} * (n + n_)")
     pair = [F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")]
     return met.select(*pair, *(["key", "key_", "n", "n_", "alone_"] if step == "first" else [])).distinct()
 
