@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -60,3 +62,13 @@ def turn_to(kind: str) -> None:
     """Called as a worker starts on some kind of work: what it remembers for other kinds goes."""
     for other in [k for k in _held if k != kind]:
         _held.pop(other)()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, holes between what is in use included, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
