@@ -15,6 +15,8 @@ from graphloom.storage import scratch_path, table
 
 #: Documents below this probability of being good go.
 LEAST_QUALITY = 0.3
+#: Words that a worker's tokenizer remembers: half of packing's own figure, as the stages before have filled the heap.
+REMEMBERED = 350_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a training sequence; each window has the mixture's proportions of sources."""
-    pieces = packing.pack(docs, tokenizer_path())
+    pieces = packing.pack(docs, tokenizer_path(), remembered=REMEMBERED)
     return pieces.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 

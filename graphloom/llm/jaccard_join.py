@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 from .exact_dedup import sized_join
-from graphloom.runtime import turn_to
+from graphloom.runtime import trim, turn_to
 from graphloom.storage import free_shuffles, materialise, release
 from .words import encoded, mix, shingle_hashes, word_hashes
 
@@ -45,7 +45,7 @@ LOOSE = 8.0
 #: Times that a set is dealt into segments anew if too many of them came out empty.
 TRIES = 3
 #: Signatures that one task of the bucket stage gets.
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 500_000
 #: A signature of more sets in one batch than this is pre-aggregated there: its rows stay out of the bucket's shuffle.
 HOT = 32
 
@@ -190,6 +190,7 @@ def _index(tasks: int):
         for pdf in parts:
             for at in range(0, len(pdf), 1000):
                 yield from batch(pdf["text"].iloc[at : at + 1000])
+        trim()
 
     def batch(texts: pd.Series) -> Iterator[pd.DataFrame]:
         sigs, units, seen, facts = [], [], set(), []
@@ -276,6 +277,7 @@ def _typed(run):
     def wrapped(parts):
         for pdf in run(parts):
             yield pdf[_FOUND].astype("Int64")
+        trim()
 
     return wrapped
 

@@ -55,7 +55,7 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, remembered: int = REMEMBERED) -> list[bytes]:
     """The ids of each text, little-endian unsigned 32-bit, ``END_ID`` last.
 
     This vocabulary drops white space before it splits words, so a text's ids are those of its words in turn. Each
@@ -71,7 +71,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         lacking = [[i for i, x in enumerate(got) if x is None] for got in found]
         new = {words[i] for words, places in zip(part, lacking, strict=True) for i in places}
         if new:
-            if len(now) + len(new) > REMEMBERED:  # what isn't used again till the next time goes
+            if len(now) + len(new) > remembered:  # what isn't used again till the next time goes
                 known["old"], known["now"] = now, {}
                 now = known["now"]
             old = known["old"]
@@ -130,7 +130,8 @@ def _learn(words: set[str], known: dict[str, bytes], whole, letters) -> None:
     known.update([(w, known[b] + known[w[-1]]) for w, b in bases.items() if w is not b and len(w) > len(b)])
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", source_col: str = "source",
+             remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, source, n_tokens, ids, block, before): ``before`` counts the source's tokens ahead in the same block.
 
     A block is what one task read. Null texts count as empty: their only id is ``END_ID``.
@@ -139,7 +140,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", sourc
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for part in (p.slice(at, 1024) for p in parts for at in range(0, len(p), 1024)):
-            ids = encode(["" if t is None else t for t in part.column("text").to_pylist()], tokenizer_path)
+            ids = encode(["" if t is None else t for t in part.column("text").to_pylist()], tokenizer_path, remembered)
             n = [len(x) // 4 for x in ids]
             before = []
             for source, k in zip(part.column("source").to_pylist(), n, strict=True):
@@ -260,6 +261,7 @@ def pack(
     proportions: dict[str | None, float] | None = None,
     text_col: str = "text",
     source_col: str = "source",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """A row per piece: doc_id, source, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
@@ -267,10 +269,10 @@ def pack(
     tokens, so that all queues end together and every window has the corpus's mixture to within a few tokens. Every
     window but the last is full. Null sources form one queue. Rows that repeat are packed as often as they occur.
 
-    Texts are tokenised once, into the shared folder. Only a total per (source, block) is prefix-summed; one number
+    ``remembered`` trades a worker's memory (about 270 bytes a word, twice) for time. Texts are tokenised once, into the shared folder. Only a total per (source, block) is prefix-summed; one number
     per source goes to the driver.
     """
-    tokens = materialise(tokenise(docs, tokenizer_path, text_col, source_col), "tokens")
+    tokens = materialise(tokenise(docs, tokenizer_path, text_col, source_col, remembered), "tokens")
     sums = tokens.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
     sums = materialise(sums, "block_sums")
     totals = [(r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()]
