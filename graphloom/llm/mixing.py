@@ -137,6 +137,33 @@ def curriculum(rank: Column) -> tuple[Column, Column]:
     return F.when(even, 1.5).otherwise(0.5), F.when(even, 0.5).otherwise(1.5)
 
 
+def schedule(docs: DataFrame, budget: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
+    """Each row of ``allot`` by the curriculum: ``uses``, an array of (pass, words, training_position), one element per
+    pass that takes words of the row; ``taken``, the words of all of them; ``training_position``, that of the first.
+
+    Rows are range-sorted by position, so they come in the order in which training first meets them; rows that are not
+    used have no position and come last.
+    """
+    plan = allot(docs, budget, weights).drop("taken")
+    whole, source_size = F.floor("target"), F.col("source_size")
+    last = F.when(source_size > 0, F.floor(whole / source_size)).otherwise(0).cast("int")
+    start, end = curriculum(F.col("rank"))
+
+    def use(number: Column) -> Column:
+        ahead = number * source_size + F.col("before")
+        words = F.greatest(F.lit(0), F.least(F.col("size"), whole - ahead)).cast("long")
+        due = position(ahead.cast("double"), F.col("target"), start, end)
+        return F.struct(number.alias("pass"), words.alias("words"), due.alias("training_position"))
+
+    uses = F.filter(F.transform(F.sequence(F.lit(0), last), use), lambda u: u["words"] > 0)
+    plan = plan.withColumn("uses", uses)
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, u: n + u["words"])
+    first = F.array_min(F.transform("uses", lambda u: u["training_position"]))
+    plan = materialise(plan.withColumn("taken", taken).withColumn("training_position", first), "schedule")
+    order = [F.col("training_position").asc_nulls_last(), F.col("doc_id")]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def mix(docs: DataFrame, budget: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """The documents as they are trained on, in order: a row each time that one is used, with ``training_position``.
 

@@ -92,7 +92,7 @@ def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.allot(table(spark, sf_dir, "documents"))
+    found = mixing.schedule(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and edge cases: nulls, empty and long texts, ties, repeats, odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -457,6 +458,29 @@ def test_mixing(docs, rows, nothing):
     assert mixing.allot(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+def test_mixing_schedule(spark, docs, rows, nothing, monkeypatch):
+    """Every pass of a row has its position on the curriculum, and op9_mix takes its rows from that plan, in order."""
+    from graphloom.llm import queries
+
+    plan = mixing.schedule(docs).collect()
+    key = lambda r: (r["doc_id"], r["source"] or "", r["before"], r["taken"])
+    assert sorted(map(key, plan)) == sorted(map(key, mixing.allot(docs).collect()))
+    for r in plan:
+        assert r["taken"] == sum(u["words"] for u in r["uses"]) and (r["training_position"] is None) == (not r["uses"])
+        start, end = (1.5, 0.5) if r["rank"] % 2 == 0 else (0.5, 1.5)
+        for u in r["uses"]:
+            t, ahead = u["training_position"], u["pass"] * r["source_size"] + r["before"]
+            assert r["target"] * (start * t + (end - start) * t * t / 2) == pytest.approx(ahead, abs=1e-6 * r["target"])
+    first = [math.inf if r["training_position"] is None else r["training_position"] for r in plan]
+    assert first == sorted(first) and max(len(r["uses"]) for r in plan) == 2
+    mixed = Counter((r["doc_id"], r["training_position"]) for r in mixing.mix(docs).collect())
+    assert not mixed - Counter((r["doc_id"], u["training_position"]) for r in plan for u in r["uses"])
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    due = {r["doc_id"]: x for r, x in zip(plan, first)}
+    order = [due[r["doc_id"]] for r in queries.op9_mix(spark, "").collect()]
+    assert order == sorted(order) and mixing.schedule(nothing).count() == 0
+
+
 def test_mixing_repeated_ids(spark):
     rows = [(1, "a b c", "", "x", 0), (1, "a b c", "", "x", 0), (1, "d e", "", "y", 0), (None, "f", "", None, 0), (2, None, "", "x", 0)]
     df = spark.createDataFrame(rows, DOCS)
