@@ -6,7 +6,9 @@ how much its blocks differ from page to page. A block that k of m pages of the h
 content importance is the mean over its blocks. Navigation, banners and notices recur and score low, articles are new
 on each page and score high. Branches of low importance go from each page; so do elements that by their very tag,
 class, id or role are menus, headers, footers, sidebars, notices, adverts, forms or comments. What a page marks as its
-article is not judged by importance, so a paragraph that many articles share stays.
+article is evidence for it: the article's root, all that encloses it, and the single paragraphs, headings and cells in
+it are not judged, so a paragraph that many articles share stays. Other branches in an article are judged like those
+outside of it; they stay if nothing else would be left of the article.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ _WORDS = frozenset(
 _TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<b>[!?])[^>]*>?|(?P<e>/)?(?P<t>[a-zA-Z][^\s/>]*)(?P<a>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _SPACE = re.compile(r"\s+")
+#: In an article these are single pieces of text, which importance doesn't judge.
+_SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre figcaption summary".split())
 #: Closed by the opening of any of these.
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -74,7 +78,7 @@ class Element:
 @dataclass
 class Block:
     text: str
-    paths: list[int]  # of its elements that aren't inline, outermost first
+    paths: list[int]  # of its elements that importance judges, outermost first
     dropped: bool
     article: bool
 
@@ -106,6 +110,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
     children: dict[int, list[str]] = {}
     held: list[str] = []
     paths: dict[tuple[int, str], int] = {}
+    marked: set[int] = set()  # articles and all that encloses them
     attributes: dict[str, tuple[str, bool]] = {}
 
     def flush() -> None:
@@ -114,7 +119,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
             held.clear()
             if text:
                 at = stack[-1]
-                outer = [e.path for e in stack[1:] if e.tag not in _INLINE]
+                outer = [e.path for e in stack[1:] if e.tag not in _INLINE and not (e.article and e.tag in _SINGLE)]
                 blocks.append(Block(text, outer, at.dropped, at.article))
 
     def pop(to: int) -> None:
@@ -179,20 +184,23 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
             article = parent.article or name in ("article", "main")
             dropped = parent.dropped or bad or name in _DROP or (name == "header" and not parent.article)
             stack.append(Element(name, full, path, dropped, article))
+            if name in ("article", "main") and not dropped:
+                marked.update(e.path for e in stack)
             if name in _RAW:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 at = end.start() if end else n
     flush()
+    for b in blocks:
+        b.paths = [p for p in b.paths if p not in marked]
     return blocks, {k: tuple(v) for k, v in children.items()}
 
 
 def main_text(blocks: list[Block], low: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks that stay, joined by line ends. ``low`` are the site's nodes of low importance."""
-    kept = [b for b in blocks if not b.dropped]
-    if any(b.article for b in kept):
-        kept = [b for b in kept if b.article]
-    else:
-        kept = [b for b in kept if low.isdisjoint(b.paths)]
+    blocks = [b for b in blocks if not b.dropped]
+    kept = [b for b in blocks if low.isdisjoint(b.paths)]
+    if not any(b.article for b in kept):
+        kept = [b for b in blocks if b.article or low.isdisjoint(b.paths)]
     return "\n".join(b.text for b in kept)
 
 
@@ -201,7 +209,7 @@ def host_of(url):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content, importance) of each node that lies outside of articles.
+    """(host, node, pages, presentation, content, importance) of each node that is judged.
 
     Counts are summed by (host, node, feature) before they are joined up, so a host of any size costs no task more than
     its distinct features.
@@ -212,13 +220,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
             out = []
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
                 blocks, children = parse(page or "")
-                inside = {p for b in blocks if b.article for p in b.paths}
+                blocks = [b for b in blocks if b.paths and not b.dropped]
                 for b in blocks:
-                    if not b.article and not b.dropped:
-                        feature = _hash(b.text)
-                        out += [(host, p, 0, feature) for p in b.paths]
-                nodes = {p for b in blocks if not b.article and not b.dropped for p in b.paths}
-                out += [(host, p, 1, _hash(children.get(p, ()))) for p in nodes - inside]
+                    feature = _hash(b.text)
+                    out += [(host, p, 0, feature) for p in b.paths]
+                out += [(host, p, 1, _hash(children.get(p, ()))) for p in {p for b in blocks for p in b.paths}]
             yield pd.DataFrame(out, columns=["host", "node", "kind", "feature"])
 
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
@@ -242,7 +248,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``pages`` without html, with ``text``: its article's blocks in page order, joined by line ends.
+    """``pages`` without html, with ``text``: the blocks that stay in page order, joined by line ends.
 
     Null and empty html give an empty text; a page without a url belongs to the nameless host. Rows that repeat are
     counted and returned as often as they occur. If no block is left the text is empty.

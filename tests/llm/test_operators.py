@@ -302,6 +302,16 @@ def test_site_style_tree(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_judges_articles_too(spark):
+    promo = "<div class=x><p>Join our circle of friends</p><p>Every week anew</p></div>"
+    rows = [(i, "http://a.example/", f"<main><div class=t><h1>Title {i}</h1><p>text {i}</p><p>Shared line</p></div>{promo}</main>") for i in range(30)]
+    rows += [(100 + i, "http://b.example/", f"<article><p>teaser {i}</p></article><div class=y><p>body {i}</p><p>end {i * 7}</p></div>{promo}") for i in range(30)]
+    rows += [(200 + i, "http://c.example/", "<article><div><p>the same</p></div></article>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got[3] == "Title 3\ntext 3\nShared line" and got[103] == "teaser 3\nbody 3\nend 21" and got[203] == "the same"
+
+
 # ---------------------------------------------------------------------------------------------------------- quality
 
 
