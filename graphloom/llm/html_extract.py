@@ -45,7 +45,9 @@ _INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr script style template noscript iframe svg math canvas object audio video "
     "map select button input textarea".split()
 )
-#: Words in class, id or role that mark a branch as something other than the article.
+#: Elements that no class, id or role drops.
+_CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: A class, id or role made of these words alone marks a branch as something other than the article.
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs header masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice alert "
@@ -87,15 +89,21 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """(classes, whether class, id or role names something to drop)."""
+def _names(value: str) -> bool:
+    """Whether any name of the attribute consists of words to drop alone: "ad", "cookie-notice", not "has-sidebar"."""
+    found = (set(re.split(r"[^a-z0-9]+", n)) - {""} for n in value.split())
+    return any(words and words <= _WORDS for words in found)
+
+
+def _attributes(raw: str, judged: bool = True) -> tuple[str, bool]:
+    """(classes, whether class, id or role names something to drop, which is asked of ``judged`` elements only)."""
     classes, bad = "", False
     if "=" in raw:
         for key, value in _ATTR.findall(raw):
             key = key.lower()
             if key in ("class", "id", "role"):
                 value = entities.unescape(value.strip("\"'")).lower()
-                bad |= not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                bad |= judged and _names(value)
                 if key == "class":
                     classes = ".".join(sorted(value.split()))
             elif key in ("hidden", "aria-hidden") and value.strip("\"'").lower() in ("true", "hidden", ""):
@@ -111,7 +119,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
     held: list[str] = []
     paths: dict[tuple[int, str], int] = {}
     marked: set[int] = set()  # articles and all that encloses them
-    attributes: dict[str, tuple[str, bool]] = {}
+    attributes: dict[tuple[str, bool], tuple[str, bool]] = {}
 
     def flush() -> None:
         if held:
@@ -170,9 +178,10 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
                     break
         if name == "br":
             held.append(" ")
-        found = attributes.get(raw)
+        judged = name not in _CONTENT
+        found = attributes.get((raw, judged))
         if found is None:
-            found = attributes[raw] = _attributes(raw)
+            found = attributes[raw, judged] = _attributes(raw, judged)
         classes, bad = found
         parent = stack[-1]
         if name not in _VOID and not raw.endswith("/"):

@@ -292,6 +292,13 @@ def test_html():
     assert text_of("<article><p>x<script>if (a<b) '</div>'</script>y</p></article>") == "xy"
 
 
+def test_html_compound_names():
+    assert text_of('<body class="has-sidebar"><article class="post comments-open"><p>a</p></article></body>') == "a"
+    assert text_of('<body class="sidebar"><main id="search"><h2 class="header">a</h2><p>b</p></main></body>') == "a\nb"
+    assert text_of('<div class="article-header"><h1>a</h1></div><h2 id="search-results">b</h2><section id="related-work"><p>c</p></section>') == "a\nb\nc"
+    assert text_of('<p>a</p><div class="box sidebar-widget">b</div><div role="navigation">c</div><div id="cookie_notice">d</div><div class="-">e</div>') == "a\ne"
+
+
 def test_site_style_tree(spark):
     rows = [(i, f"http://Host.example:80/{i}", f"<body><div class=x><p>Same words on every page</p></div><div class=y><p>text {i}</p><p>more {i * 7}</p></div></body>") for i in range(40)]
     rows += [(100, "http://small.example/", "<div class=x><p>Same words on every page</p></div>"), (101, None, None), (102, "u", ""),
