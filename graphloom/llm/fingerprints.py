@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import components
 from graphloom.storage import materialise
 from .words import encoded, shingle_hashes, word_hashes
 
@@ -173,18 +174,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, match_id, jaccard): each text that shares a band with texts of smaller id, with the smallest of them in
-    that band, if their shingles' Jaccard similarity is ``least`` or more.
+    """(doc_id, match_id, jaccard): links to smaller ids, of similarity ``least`` or more, that suffice for components.
 
-    Equal texts share one fingerprint and one link. A band's rows meet its smallest member only, so a bucket of any
-    size gives as many pairs as it has rows; the join on the band is one that Spark can split when it is skewed.
+    Any two texts that share a band and whose shingles' Jaccard similarity is ``least`` or more are linked, directly or
+    over others. First each text meets its bands' smallest members and the smallest text of the same shingles. In bands
+    that are left with several components, all pairs across components are tried, of texts of the same shingles one;
+    joins on the band are ones that Spark can split when they are skewed.
     """
-    from .jaccard_join import verified
+    from .jaccard_join import describe, verified
 
     prints = fingerprints(docs, id_col, text_col).where("fingerprint is not null")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND - 1)),
                          lambda i: F.xxhash64(i, F.slice("fingerprint", i * BAND + 1, BAND)))
     bands = materialise(prints.select("doc_id", F.explode(pieces).alias("band")), "bands")
     heads = bands.groupBy("band").agg(F.min("doc_id").alias("match_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = bands.join(heads, "band").where("doc_id <> match_id").select("doc_id", "match_id").distinct()
-    return verified(docs, pairs, least, id_col, text_col)
+    pairs = bands.join(heads, "band").where("doc_id <> match_id").select("doc_id", "match_id")
+    keys = materialise(describe(docs, id_col, text_col).where("key is not null").select("doc_id", "key"), "keys")
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("match_id"))
+    copies = keys.join(first, "key").where("doc_id <> match_id").select("doc_id", "match_id")
+    tried = materialise(pairs.unionByName(copies).distinct(), "tried")
+    found = materialise(verified(docs, tried, least, id_col, text_col), "found")
+
+    label = components(found.select(F.col("doc_id").alias("a"), F.col("match_id").alias("b")))
+    single = first.select(F.col("match_id").alias("doc_id"))
+    rows = bands.distinct().join(single, "doc_id", "left_semi").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = materialise(rows.select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    several = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = materialise(rows.join(several.select("band"), "band", "left_semi"), "open")
+    other = rows.select("band", F.col("doc_id").alias("match_id"), F.col("component").alias("other"))
+    rest = rows.join(other, "band").where("component <> other and doc_id > match_id").select("doc_id", "match_id").distinct()
+    rest = rest.join(tried, ["doc_id", "match_id"], "left_anti")
+    return found.unionByName(verified(docs, rest, least, id_col, text_col))

@@ -435,6 +435,26 @@ def test_minhash_links(docs, rows):
         assert r["jaccard"] == pytest.approx(len(a & b) / len(a | b)) and r["jaccard"] >= 0.8
 
 
+def test_minhash_links_variants_of_one_base(spark):
+    """Variants that are like their base only, and the base has the largest id: components as by brute force."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(204)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(0, 200, 10), 3):
+            w[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(w), "", "", 0))
+    rows += [(500, " ".join(base), "", "", 0), (501, " ".join(base), "", "", 0), (502, "", "", "", 0), (503, "lone", "", "", 0)]
+    links = [(r["doc_id"], r["match_id"]) for r in fingerprints.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    assert len(links) == len(set(links)) and all(a > b for a, b in links)
+    label = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == {i: c for i, (_, c) in brute_components([r[:2] for r in rows]).items()}
+
+
 # ----------------------------------------------------------------------------------------------------------- mixing
 
 
