@@ -72,6 +72,70 @@ BREAK = r"\n+|[.!?]+[ \t\r]+"
 HINT = r"licen|redistribut|permission|copyright|rights reserved|cc0|creative commons|the name of|as is"
 _ANY = r"(?i)licen|redistribut|permission|copyright|rights reserved|cc0|creative commons|the name of|as is"
 
+#: "released under the terms of the", and "SPDX-License-Identifier:", which names a licence by itself.
+_UNDER = r"\b(licen[sc]ed|released|distributed|available|published|provided|issued|shared) under (the |a |an )?(terms of (the |a |an )?)?"
+_SPDX = r"spdx license identifier "
+_GIVEN = rf"({_UNDER}|{_SPDX})"
+_TERMS = r"terms (and conditions )?of "
+_CC = _GIVEN + r"(creative commons |cc )(licen[sc]e )?(by|attribution)"
+_NC, _SA, _ND = r" (nc|non ?commercial)", r" (sa|share ?alike)", r" (nd|no ?deriv[a-z]*)"
+
+
+def _gnu(name: str, short: str, version: str) -> str:
+    """Notices that name a GNU licence, of a version or (with "") of any."""
+    after = rf"( as published by the free software foundation)?,? (either )?(version |v ?)?{version}\b" if version else ""
+    of = rf"|{_TERMS}version {version} of the gnu {name}general public licen[sc]e" if version else ""
+    number = rf" ?v? ?{version}\b" if version else r"( ?v? ?\d|\b)"
+    return rf"({_UNDER}|{_TERMS}(the )?)gnu {name}general public licen[sc]e{after}{of}|{_GIVEN}(gnu )?{short}{number}"
+
+
+#: More phrasings, tried before SENTENCES: real headers, SPDX identifiers, "released under" forms. The SQL of the query
+#: knows SENTENCES and RULES alone; where a text has only those the results are the same.
+MORE_SENTENCES: list[tuple[str, str]] = [
+    ("LGPL", _gnu("(lesser |library )", "lgpl", "")),
+    ("AGPL", _gnu("affero ", "agpl", "")),
+    ("GPLTHREE", _gnu("", "gpl", "3")),
+    ("GPLTWO", _gnu("", "gpl", "2")),
+    ("GPLANY", _gnu("", "gpl", "")),
+    ("APACHETWO", _GIVEN + r"apache (software )?(licen[sc]e,? )?(version |v ?)?2"),
+    ("MIT", _GIVEN + r"(mit|expat)\b"),
+    ("BSDTHREE", _GIVEN + r"(bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)"),
+    ("BSDTWO", _GIVEN + r"(bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)"),
+    ("BSD", _GIVEN + r"bsd\b"),
+    ("ISC", _GIVEN + r"isc\b"),
+    ("MPL", rf"{_GIVEN}(mozilla public licen[sc]e|mpl)|{_TERMS}the mozilla public licen[sc]e"),
+    ("CCBYNCSA", _CC + _NC + _SA),
+    ("CCBYNCND", _CC + _NC + _ND),
+    ("CCBYNC", _CC + _NC),
+    ("CCBYSA", _CC + _SA),
+    ("CCBYND", _CC + _ND),
+    ("CCBY", _CC),
+    ("CCZERO", _GIVEN + r"(cc0|cc zero|creative commons zero)"),
+]
+MORE_RULES: list[tuple[str, str]] = [
+    ("BSD-3-Clause", "BSDTHREE"), ("BSD-2-Clause", "BSDTWO"), ("ISC", "ISC"), ("CC-BY-NC-ND", "CCBYNCND"), ("CC-BY-ND", "CCBYND"),
+]
+#: A word of every pattern of both tables, in plain or normalised text.
+ANY_HINT = (
+    r"(?i)licen[sc]|redistribut|permission|copyright|rights\W+reserved|cc0|creative\W+commons|the\W+name\W+of|as\W+is"
+    r"|(released|distributed|available|published|provided|issued|shared)\W+under|general\W+public|mozilla"
+)
+#: The margin of a line in a comment.
+_MARGIN = r"[ \t\r]*\n[ \t]*(?:(?:[#*;%]+|//+|--+)[ \t]+)?"
+#: A break within a sentence: the next line goes on in lower case, or the last ends in a word that can't end a sentence.
+WRAP = (
+    rf"(?<![.!?:;\n \t\r]){_MARGIN}(?=[\p{{Ll}}(])"
+    rf"|(?<=\b(?:the|a|of|under|by|GNU|General|Lesser|Affero|Public|Creative|Commons|Apache|Mozilla|Version|version)){_MARGIN}(?=[\p{{L}}\p{{N}}])"
+)
+#: Between the licences of one SPDX expression.
+SPDX_NEXT = r"(?i)[ \t]+(?:or|and)[ \t]+(?<=spdx-license-identifier:[^\n]{0,300})"
+
+
+def unwrapped(text: Column) -> Column:
+    """Sentences that go on in the next line are joined; each licence of an SPDX expression has a line of its own."""
+    split = F.regexp_replace(text, SPDX_NEXT, "\nSPDX-License-Identifier: ")
+    return F.regexp_replace(F.when(text.rlike(r"(?i)spdx-license"), split).otherwise(text), WRAP, " ")
+
 
 def normalise(sentence: Column) -> Column:
     """Lower case; everything but letters, digits and commas is one space."""
@@ -81,9 +145,9 @@ def normalise(sentence: Column) -> Column:
 def identify(sentence: Column) -> Column:
     """The identifier of a normalised sentence, or null."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
+    for name, pattern in reversed(MORE_SENTENCES + SENTENCES):
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
-    return F.when(sentence.rlike(HINT), out)
+    return F.when(sentence.rlike(ANY_HINT), out)
 
 
 def rule_pattern(sequence: str) -> str:
@@ -94,7 +158,7 @@ def rule_pattern(sequence: str) -> str:
 def sequence(text: Column) -> Column:
     """The identifiers of the text's licence sentences, "|A|-|B|", or "|" for none."""
     # A mark after each break keeps sentences that end alike apart; neighbours with nothing between are adjacent.
-    found = F.transform(F.split(text, BREAK), lambda s: F.coalesce(identify(normalise(s)), F.lit("-")))
+    found = F.transform(F.split(unwrapped(text), BREAK), lambda s: F.coalesce(identify(normalise(s)), F.lit("-")))
     joined = F.concat(F.lit("|"), F.array_join(found, "|"), F.lit("|"))
     joined = F.regexp_replace(joined, r"(-\|)+", "-|")
     return F.regexp_replace(F.regexp_replace(joined, r"^\|-\|", "|"), r"\|-\|$", "|")
@@ -108,14 +172,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The whole text is searched once; only texts with any hint are cut into sentences.
-    ids = F.when(text.rlike(_ANY), sequence(text)).otherwise(F.lit("|"))
+    ids = F.when(text.rlike(ANY_HINT), sequence(text)).otherwise(F.lit("|"))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     left: Column = F.regexp_replace("sentence_ids", r"\|", "||")
-    for k, (_, seq) in enumerate(RULES):
+    rules = RULES + MORE_RULES
+    for k, (_, seq) in enumerate(rules):
         left = F.regexp_replace(left, doubled(seq), f"<{k:02d}>")
     rows = rows.withColumn("marks", left)
     marks = F.regexp_extract_all("marks", F.lit(r"<(\d\d)>"), 1)
-    names = F.array(*[F.lit(n) for n, _ in RULES])
+    names = F.array(*[F.lit(n) for n, _ in rules])
     named = F.transform(marks, lambda m: F.element_at(names, m.cast("int") + 1))
     return rows.select(
         "doc_id",

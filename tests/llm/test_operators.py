@@ -275,6 +275,32 @@ def test_licenses(spark):
     assert got == {1: ("MIT", 1, 0), 2: ("MIT", 1, 0), 3: ("", 0, 0), 4: ("", 0, 0), 5: ("Apache-2.0,CC-BY-NC,MIT", 3, 0), 6: ("", 0, 1), 7: ("", 0, 0)}
 
 
+def test_license_headers(spark):
+    gnu = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# You should have received a copy of the GNU General Public License along with this program."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+    want = {
+        gnu.format(""): "GPL-3.0", gnu.format("Lesser "): "LGPL", gnu.format("Affero "): "AGPL", apache: "Apache-2.0",
+        " * This file is licensed under the GNU\n * General Public License, version 2.": "GPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "MPL",
+        "Released under CC BY 4.0.": "CC-BY", "Released under a Creative Commons Attribution-ShareAlike 4.0 licence.": "CC-BY-SA",
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT", "SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause": "BSD-3-Clause,GPL-2.0",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0": "CC-BY-NC-ND", "Distributed under the 2-clause BSD license.": "BSD-2-Clause",
+        "Released under the GPLv3.": "GPL-3.0", "Available under the MIT License\nAll rights reserved": "All-Rights-Reserved,MIT",
+        "The bridge is available under\nthe old rules.": "",
+    }
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(want)], DOCS)
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert {t: got[i]["licenses"] for i, t in enumerate(want)} == want
+    assert [i for i in got if got[i]["unmatched"]] == []
+
+
 # ------------------------------------------------------------------------------------------------------------- HTML
 
 
