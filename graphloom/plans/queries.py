@@ -518,13 +518,17 @@ def edge_tile_shards(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def edge_tile_images(spark: SparkSession, d: str) -> DataFrame:
     found, geometry = _edge_tiles(spark, d)
-    return tiles.render_edges(found.where("zoom <= 2"), geometry, 6)
+    return tiles.render_edges(found, geometry, 6)
 
 
 @query()
 def node_tile_images(spark: SparkSession, d: str) -> DataFrame:
-    discs = tiles.disc_tiles(_drawn(spark, d), 1)
-    return tiles.render_nodes(discs.unionByName(tiles.parent_discs(discs)))
+    zoom = tiles.ZoomConfig().static_tile_max_zoom
+    discs = level = tiles.disc_tiles(_drawn(spark, d), zoom)
+    for _ in range(zoom):
+        level = tiles.parent_discs(level)
+        discs = discs.unionByName(level)
+    return tiles.render_nodes(discs)
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:

@@ -38,3 +38,9 @@ def test_same_as_sql(spark, oracle, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
+
+
+def test_images_of_every_zoom(spark):
+    for name, deepest in (("edge_tile_images", 6), ("node_tile_images", 5)):
+        found = Q.QUERIES[name](spark, SF).select("zoom").distinct().collect()
+        assert {r["zoom"] for r in found} == set(range(deepest + 1))
