@@ -8,9 +8,10 @@ digest can hold more rows than the summary's error bound allows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import private, quoted
 from graphloom.storage import materialise
 
 #: Counters in the frequent-items summary: a digest with more than about 4/COUNTERS of the rows can't escape it.
@@ -67,9 +68,9 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     heavy = materialise(heavy_groups(rows), "heavy")
     hot = rows.join(F.broadcast(heavy), "digest")  # MOST_HEAVY rows at most
     cold = rows.join(F.broadcast(heavy), "digest", "left_anti")
-    of = Window.partitionBy("digest")
-    size, best = (c.over(of) for c in _winner())
-    cold = cold.select(*rows.columns, size.alias("group_size"), best.alias("best"))
+    size, best = _winner()  # summed before the shuffle; only the join back, which Spark can split, sees all rows
+    groups = cold.groupBy("digest").agg(size.alias("group_size"), best.alias("best"))
+    cold = cold.join(groups, "digest").select(*rows.columns, "group_size", "best")
     both = hot.select(*cold.columns).unionByName(cold)
     return both.select(
         "row", "doc_id", "n_chars", "digest",
@@ -87,25 +88,28 @@ def sized_join(big: DataFrame, ids: DataFrame, on: Column, how: str) -> DataFram
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Dropped ids are removed by an anti join, broadcast only if they were counted and found few. Ids that occur on several rows, or are null, are settled by the whole row instead.
+    Dropped ids are removed by an anti join, broadcast only if they were counted and found few. Ids that occur on
+    several rows, or are null, are settled by the whole row instead. Other columns may have any names; an empty table
+    stays empty.
     """
     found = materialise(resolve(docs, id_col, text_col).select("doc_id", "digest", "kept"), "resolved")
     unclear = materialise(
         found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "repeated_ids"
     )
     gone = materialise(found.where("not kept").select("doc_id"), "gone")
-    unclear, gone = unclear.withColumnRenamed("doc_id", "_id"), gone.withColumnRenamed("doc_id", "_id")
-    plain = sized_join(docs, gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    the_id, the_digest, stays, whole = private(docs.columns, "_id", "_digest", "_stay", "_row")
+    unclear, gone = unclear.withColumnRenamed("doc_id", the_id), gone.withColumnRenamed("doc_id", the_id)
+    same = F.col(id_col).eqNullSafe(F.col(the_id))
+    plain = sized_join(docs, gone, same, "left_anti")
     if unclear.isEmpty():
         return plain
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
     plain = plain.join(unclear, same, "left_anti")
-    digest = F.sha2(normalised(F.col(text_col).cast("string")), 256)
-    odd = docs.join(unclear, same, "left_semi").withColumn("_digest", digest)
-    stay = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_stay"))
-    stay = stay.join(unclear.withColumnRenamed("_id", "_u"), F.col("_id").eqNullSafe(F.col("_u")), "left_semi")
-    odd = odd.join(stay, same & (F.col("_digest") == F.col("_stay")), "left_semi")
-    longest = odd.groupBy("_digest").agg(
-        F.max_by(F.struct(*docs.columns), F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))))).alias("_row")
+    text = F.col(text_col).cast("string")
+    odd = docs.join(unclear, same, "left_semi").withColumn(the_digest, F.sha2(normalised(text), 256))
+    stay = found.where("kept").join(unclear, F.col("doc_id").eqNullSafe(F.col(the_id)), "left_semi")
+    stay = stay.select(F.col("doc_id").alias(the_id), F.col("digest").alias(stays))
+    odd = odd.join(stay, same & (F.col(the_digest) == F.col(stays)), "left_semi")
+    longest = odd.groupBy(the_digest).agg(
+        F.max_by(F.struct(*quoted(docs.columns)), F.length(F.coalesce(text, F.lit("")))).alias(whole)
     )
-    return plain.unionByName(longest.select("_row.*"))
+    return plain.unionByName(longest.select(f"{whole}.*"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 from .exact_dedup import sized_join
-from graphloom.runtime import trim, turn_to
+from graphloom.runtime import private, ship, trim, turn_to
 from graphloom.storage import free_shuffles, materialise, release
 from .words import encoded, mix, shingle_hashes, word_hashes
 
@@ -162,6 +162,7 @@ def roles(n: int) -> list[tuple[int, int]]:
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, key, n_signatures) of each row; key is null for texts without words."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("n long, key long, n_signatures long")
     def look(texts: pd.Series) -> pd.DataFrame:
@@ -284,6 +285,7 @@ def _typed(run):
 
 def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, set: its shingles as sorted 64-bit numbers in binary) of the rows whose id is in ``ids`` (column ``_id``)."""
+    ship(docs.sparkSession)
     some = sized_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
                       ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
@@ -517,10 +519,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with all their columns.
 
-    Where an id is on several rows, it goes if all of them do; of rows that repeat as a whole one stays.
+    Where an id is on several rows, it goes if all of them do; of rows that repeat as a whole one stays. Rows without an
+    id stay. Other columns may have any names; an empty table stays empty.
     """
     found = materialise(near_components(docs, id_col, text_col), "near")
     by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"))
     by_id = materialise(by_id, "near_ids")
-    out = sized_join(docs, by_id.where("goes").select(F.col("doc_id").alias("_id")), F.col(id_col) == F.col("_id"), "left_anti")
+    (the_id,) = private(docs.columns, "_id")
+    out = sized_join(docs, by_id.where("goes").select(F.col("doc_id").alias(the_id)), F.col(id_col) == F.col(the_id), "left_anti")
     return out if by_id.where("rows > 1").isEmpty() else out.dropDuplicates()

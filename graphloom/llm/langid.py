@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.runtime import private, quoted, ship
 from graphloom.storage import materialise
 
 #: Bytes of an n-gram.
@@ -114,13 +115,16 @@ def probes(codes: np.ndarray) -> list[np.ndarray]:
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Filter:
     """A filter from rows whose language is known; at most about LEARN_DOCS documents of each, whole texts.
 
-    Counts are summed in Spark. What the driver gets is GRAMS codes per language.
+    Rows without text or language teach nothing; without any rows the filter knows no language. Other columns may have
+    any names. Counts are summed in Spark. What the driver gets is GRAMS codes per language.
     """
-    known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("_lang")).count()
-    rate = materialise(sizes.select("_lang", (F.lit(float(LEARN_DOCS)) / F.col("count")).alias("_rate")), "rates")
-    luck = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1_000_000
-    some = known.join(F.broadcast(rate), known[lang_col] == rate["_lang"]).where(luck < F.col("_rate"))
+    ship(rows.sparkSession)
+    known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = known.where("lang is not null and text is not null")
+    sizes = known.groupBy("lang").count()
+    rate = materialise(sizes.select("lang", (F.lit(float(LEARN_DOCS)) / F.col("count")).alias("rate")), "rates")
+    luck = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
+    some = known.join(rate, "lang").where(luck < F.col("rate"))  # a row per language, as the planner sees from its files
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -128,17 +132,14 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 codes, n = np.unique(np.concatenate([grams(folded(t)) for t in group["text"]]), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": n})
 
-    counted = some.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(
-        run, "lang string, code long, n long"
-    )
+    counted = some.select("lang", "text").mapInPandas(run, "lang string, code long, n long")
     counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).where("n > 1")
-    from pyspark.sql import Window
-
-    # Rank within hashed parts first, so that no task ranks all n-grams of a language.
+    # Rank within hashed parts first, so that no task ranks all n-grams of a language: what is among the first GRAMS of
+    # a language is among the first GRAMS of its part.
     part = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "code")
     whole = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = counted.withColumn("part", F.pmod(F.hash("code"), F.lit(64)))
-    best = best.withColumn("k", F.row_number().over(part)).where(F.col("k") <= GRAMS // 16)
+    best = best.withColumn("k", F.row_number().over(part)).where(F.col("k") <= GRAMS)
     best = best.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= GRAMS)
     got = best.select("lang", "code").toPandas()
     return Filter.build({str(x): g["code"].to_numpy(np.int64).view(np.uint64) for x, g in sorted(got.groupby("lang"))})
@@ -148,8 +149,10 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFram
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1). The model is at most 8 MB per 64 languages, whatever the data.
 
     Null texts and texts without letters are ``und`` with score 0. A text with letters but without a known n-gram gets
-    the first language with score 0.
+    the first language with score 0. Columns of ``docs`` that are called ``lang_pred`` or ``score`` are replaced, others
+    may have any names.
     """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -157,5 +160,7 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFram
         filt = held.value
         return pd.DataFrame([filt.predict(t) for t in texts], columns=["lang", "score"])
 
-    got = docs.withColumn("_got", predict(F.col(text_col).cast("string")))
-    return got.select(*docs.columns, F.col("_got.lang").alias("lang_pred"), F.col("_got.score").alias("score"))
+    (got,) = private(docs.columns, "_got")
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    made = docs.withColumn(got, predict(F.col(text_col).cast("string")))
+    return made.select(*quoted(keep), F.col(f"{got}.lang").alias("lang_pred"), F.col(f"{got}.score").alias("score"))
