@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.runtime import private, quoted
 from graphloom.storage import materialise
 
 #: Largest number of times that a source's words are used.
@@ -164,10 +165,14 @@ def schedule(docs: DataFrame, budget: float = 1.5, weights: tuple[float, ...] =
     return plan.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def mix(docs: DataFrame, budget: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
-    """The documents as they are trained on, in order: a row each time that one is used, with ``training_position``.
+def mix(
+    docs: DataFrame, budget: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), position_col: str = "training_position"
+) -> DataFrame:
+    """The documents as they are trained on, in order: a row each time that one is used, with its training position.
 
     A document of which the last pass takes at least half is used whole in it; the others are left out of that pass.
+    Documents without words go. Other columns may have any names; one called ``position_col`` is replaced. Rows that
+    share an id are told apart by their text and source; an empty table stays empty.
     """
     plan = materialise(allot(docs, budget, weights), "plan")
     repeated = not plan.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -181,10 +186,12 @@ def mix(docs: DataFrame, budget: float = 1.5, weights: tuple[float, ...] = (5.0,
     plan = plan.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
     word = (F.col("pass") * F.col("source_size") + F.col("before")).cast("double")
     due = position(word, F.col("target"), start, end)
-    rows, same = docs, F.col("doc_id").eqNullSafe(F.col("_id"))
-    due = plan.select(F.col("doc_id").alias("_id"), *["nth"] * repeated, due.alias("training_position"))
+    keep = [c for c in docs.columns if c.lower() != position_col.lower()]
+    the_id, place, own = private([*docs.columns, position_col], "_id", "_nth", "_own")
+    rows, same = docs.select(*quoted(keep)), F.col("doc_id").eqNullSafe(F.col(the_id))
+    due = plan.select(F.col("doc_id").alias(the_id), *[F.col("nth").alias(place)] * repeated, due.alias(position_col))
     if repeated:
         nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source"))
-        rows, same = docs.withColumn("_nth", F.row_number().over(nth)), same & (F.col("_nth") == F.col("nth"))
-    picked = rows.join(due, same).select(*docs.columns, "training_position")
-    return picked.repartitionByRange("training_position", "doc_id").sortWithinPartitions("training_position", "doc_id")
+        rows, same = rows.withColumn(own, F.row_number().over(nth)), same & (F.col(own) == F.col(place))
+    picked = rows.join(due, same).select(*quoted(keep), position_col)
+    return picked.repartitionByRange(position_col, "doc_id").sortWithinPartitions(position_col, "doc_id")

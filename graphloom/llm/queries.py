@@ -93,7 +93,7 @@ def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.schedule(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "training_position")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,18 +136,23 @@ WITH d AS (
 ), v AS (
   SELECT min_by(level_here, (fills_at, rk)) AS level FROM l WHERE level_here <= fills_at
 ), g AS (
-  SELECT source, source_size, CASE WHEN level IS NULL THEN capacity ELSE least(capacity, weight * level) END AS target
+  SELECT source, source_size, CASE WHEN level IS NULL THEN capacity ELSE least(capacity, weight * level) END AS target,
+    CASE WHEN rk % 2 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS w0, CASE WHEN rk % 2 = 0 THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END AS w1
   FROM l LEFT JOIN v ON true
 ), q AS (
-  SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
+  SELECT d.*, source_size, target, w0, w1, CAST(floor(target) AS BIGINT) AS whole,
     CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes FROM q
+  SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes,
+    CASE WHEN target > 0 THEN least(1.0::DOUBLE, CAST(before AS DOUBLE) / target) ELSE 0.0::DOUBLE END * (w0 + w1) / 2 AS area
+  FROM q
 )
 SELECT doc_id, size, source_size, target,
-       CAST(passes * size + greatest(0, least(size, whole - passes * source_size - before)) AS BIGINT) AS taken
+       CAST(passes * size + greatest(0, least(size, whole - passes * source_size - before)) AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND whole > before THEN
+         least(1.0::DOUBLE, 2 * area / (w0 + sqrt(greatest(0.0::DOUBLE, w0 * w0 + 2 * (w1 - w0) * area)))) END AS training_position
 FROM p
 """
 
