@@ -1,64 +1,65 @@
 """Quality classification by compression.
 
-Two zstandard dictionaries are built, one from texts labelled good and one from texts labelled bad. A text that shares
-more with the good ones compresses better with the good dictionary. Its feature is the normalised difference of the
-two compressed sizes, (bad - good) / plain, where plain is the size without a dictionary; the plain ratio and the
-text's length are given beside it. A logistic curve fitted on labelled rows makes a calibrated probability of it.
-
-Texts are compressed in pieces of PIECE bytes, each primed with the dictionary anew, so that every part of a long text
-weighs alike.
+zstandard dictionaries are built in pairs, one from texts labelled good and one from texts labelled bad. What shares more
+with the good texts compresses better with their dictionary. A text is compressed in pieces of PIECE bytes, each primed
+with the dictionaries anew, so that every part of a long text weighs alike; a piece's difference is
+(bad - good) / plain, where good and bad are the mean sizes over the pairs and plain is the size without a dictionary.
+The text's difference is its lowest piece's: junk in one part is junk in the text. That difference alone is the feature.
+A monotone curve, fitted on other labelled texts than the dictionaries are made from, makes a calibrated probability of
+it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import turn_to
+from graphloom.runtime import ship, turn_to
+from graphloom.storage import materialise
 
-PIECE = 4096
-LEVEL = 3
-#: Bytes of a dictionary.
-DICTIONARY = 112 * 1024
-#: Labelled rows of each class that are learned from, at most (by a hash of their id): half make the dictionaries,
-#: half the curve. The bound of the fit.
+PIECE = 448
+LEVEL = 1
+#: Bytes of a dictionary, and pairs of dictionaries.
+DICTIONARY, PAIRS = 112 * 1024, 3
+#: Labelled rows of each class that are learned from, at most about (by a hash of their id): half make the
+#: dictionaries, half the curve, on whole texts. The bound of the fit.
 LEARN_DOCS = 3_000
-#: Bytes of a labelled row's text that may enter a dictionary: pieces spread evenly over the whole text.
-SAMPLE = 16 * PIECE
+#: Pieces of each class that dictionaries are made from, at most about, drawn evenly from all pieces of those rows.
+#: The other bound of the fit.
+LEARN_PIECES = 30_000
+#: Labelled texts that each step of the curve is drawn towards the overall share by.
+PULL = 0.5
 
 
 @dataclass
 class Model:
-    good: bytes
-    bad: bytes
-    weights: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
+    pairs: list[tuple[bytes, bytes]]  # of dictionaries: good, bad
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1))  # differences ...
+    share: np.ndarray = field(default_factory=lambda: np.full(1, 0.5))  # ... and the share of good texts there
 
-    def coders(self):
+    def coders(self) -> tuple[list, list, object]:
         import zstandard as z
 
         if not hasattr(self, "_coders"):
-            self._coders = [
-                z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
-                for d in (as_dictionary(self.good), as_dictionary(self.bad))
-            ] + [z.ZstdCompressor(level=LEVEL, write_content_size=False)]
+            coder = lambda d: z.ZstdCompressor(level=LEVEL, dict_data=as_dictionary(d), write_content_size=False, write_dict_id=False)
+            good, bad = ([coder(p[i]) for p in self.pairs] for i in (0, 1))
+            self._coders = good, bad, z.ZstdCompressor(level=LEVEL, write_content_size=False)
         return self._coders
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_coders"}
 
-    def features(self, text: str | None) -> np.ndarray:
-        return features(text, self.coders())
+    def difference(self, text: str | None) -> float:
+        return difference(text, *self.coders())
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = (expand(x) - self.mean) / self.spread @ self.weights[1:] + self.weights[0]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.interp(x, self.at, self.share)
 
 
 def as_dictionary(data: bytes):
@@ -70,36 +71,29 @@ def as_dictionary(data: bytes):
     return d
 
 
-def features(text: str | None, coders) -> np.ndarray:
-    """mean and lowest over the pieces of (bad - good) / plain, plain / bytes, and the log of the length."""
+def pieces_of(text: str | None) -> list[bytes]:
+    """The whole text in pieces; a short rest belongs to the last one."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    if not data:
-        return np.zeros(4)
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    if len(pieces) > 1 and len(pieces[-1]) < PIECE // 4:
+    if len(pieces) > 1 and len(pieces[-1]) < PIECE // 2:
         pieces[-2:] = [pieces[-2] + pieces[-1]]
-    good, bad, plain = (np.array([len(c.compress(p)) for p in pieces], float) for c in coders)
-    each = (bad - good) / plain
-    return np.array([(bad.sum() - good.sum()) / plain.sum(), each.min(), plain.sum() / len(data), np.log1p(len(data))])
-
-
-def expand(x: np.ndarray) -> np.ndarray:
-    """Squares and products let the curve bend with the length of the text."""
-    pairs = [x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i, x.shape[1])]
-    return np.column_stack([x, *pairs])
+    return pieces
 
 
-def spread_sample(data: bytes) -> list[bytes]:
-    pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    step = max(1, -(-len(pieces) // (SAMPLE // PIECE)))
-    return pieces[::step]
+def difference(text: str | None, good: list, bad: list, plain) -> float:
+    """The lowest of the pieces' normalised differences; 0 for an empty text."""
+    lowest = None
+    for piece in pieces_of(text):
+        apart = sum(len(c.compress(piece)) for c in bad) - sum(len(c.compress(piece)) for c in good)
+        here = apart / (len(plain.compress(piece)) * max(1, len(good)))
+        lowest = here if lowest is None else min(lowest, here)
+    return lowest or 0.0
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
+def build_dictionary(samples: list[bytes]) -> bytes:
     """Trained by zstandard; where the samples are too few for that, their plain concatenation."""
     import zstandard as z
 
-    samples = [p for t in texts for p in spread_sample(t) if p]
     if not samples:
         return b""
     try:
@@ -108,20 +102,18 @@ def build_dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method with a ridge."""
-    z = expand(x)
-    mean, spread = z.mean(0), z.std(0) + 1e-9
-    a = np.column_stack([np.ones(len(z)), (z - mean) / spread])
-    w, pull = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
-    pull[0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (y - p) - pull * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, mean, spread
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least-squares curve that never falls (pool adjacent violators), as points to interpolate between."""
+    order = np.argsort(x, kind="stable")
+    blocks: list[list[float]] = []  # sums of x and y, rows
+    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        blocks.append([a, b, 1.0])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [s + t for s, t in zip(blocks[-1], last, strict=True)]
+    b = np.array(blocks)
+    share = (b[:, 1] + PULL * y.mean()) / (b[:, 2] + PULL)
+    return b[:, 0] / b[:, 2], np.maximum.accumulate(share)
 
 
 def choose(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -133,44 +125,69 @@ def choose(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality"
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id") -> Model:
-    """Fit on (id, text, 0/1) rows that ``choose`` has bounded: 64 kB of each row's text at most reach the driver."""
-    some = labelled.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y")
-    )
+    """Fit on (id, text, 0/1) rows that ``choose`` has bounded.
+
+    The driver gets LEARN_PIECES pieces of each class and one number for each row of the curve; whole texts stay in the
+    executors. Null texts are empty, rows with another label are left out. With no rows, or rows of one class only, every
+    score is the smoothed share of good rows.
+    """
+    ship(labelled.sparkSession)
+    rows = labelled.select(
+        F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(label_col).cast("int").alias("y"), F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(2)).alias("half"),
+    ).where("y in (0, 1)")
+    rows = materialise(rows, "labelled")
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("half") == 0, F.octet_length("text"))).alias("bytes")).collect()
+    count = {r["y"]: r["n"] for r in sizes}
+    rate = {r["y"]: LEARN_PIECES * PIECE / max(1, r["bytes"] or 0) for r in sizes}
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({
-                "id": pdf["id"], "y": pdf["y"],
-                "sample": [b"".join(spread_sample(t.encode("utf-8", "surrogatepass"))) for t in pdf["text"]],
-            })
-
-    got = some.mapInPandas(cut, "id long, y int, sample binary").toPandas().sort_values(["id", "y"], kind="stable")
-    halves = np.arange(len(got)) % 2
-    texts = got["sample"].map(bytes)
-    good, bad = (build_dictionary(list(texts[(got["y"] == y) & (halves == 0)])) for y in (1, 0))
-    model = Model(good, bad, np.zeros(15), np.zeros(14), np.ones(14))
-    fit = got[halves == 1]
-    y = fit["y"].to_numpy(float)
-    if len(set(y)) < 2:  # nothing to tell apart: the share of good rows, smoothed
-        share = (got["y"].sum() + 1) / (len(got) + 2)
-        model.weights[0] = np.log(share / (1 - share))
-        return model
-    x = np.array([model.features(bytes(t).decode("utf-8", "replace")) for t in fit["sample"]])
-    model.weights, model.mean, model.spread = fit_curve(x, y)
+            out = []
+            for i, text, y in zip(pdf["id"], pdf["text"], pdf["y"], strict=True):
+                for k, piece in enumerate(pieces_of(text)):
+                    luck = zlib.crc32(f"{i} {k}".encode())
+                    if luck < rate[y] * 2**32:
+                        out.append((y, luck, piece))
+            yield pd.DataFrame(out, columns=["y", "luck", "piece"])
+
+    share = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
+    if len(count) < 2:  # nothing to tell apart
+        return Model([], share=np.full(1, share))
+    got = rows.where("half = 0").select("id", "text", "y").mapInPandas(cut, "y int, luck long, piece binary").toPandas()
+    got = got.assign(piece=got["piece"].map(bytes)).sort_values(["y", "luck", "piece"])
+    samples = {y: list(got["piece"][got["y"] == y]) for y in (0, 1)}
+    model = Model([tuple(build_dictionary(samples[y][k::PAIRS]) for y in (1, 0)) for k in range(PAIRS)], share=np.full(1, share))
+    found = rows.where("half = 1").select("y", _differences(rows, model)("text").alias("x")).toPandas()
+    if found["y"].nunique() == 2:
+        model.at, model.share = fit_curve(found["x"].to_numpy(float), found["y"].to_numpy(float))
     return model
 
 
+def _differences(df: DataFrame, model: Model):
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def differ(texts: pd.Series) -> pd.Series:
+        turn_to("quality")
+        m = held.value
+        return pd.Series([m.difference(t) for t in texts], dtype="float64")
+
+    return differ
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """A column with the probability that the text is good; null counts as empty. The model is about 0.25 MB."""
+    """A column with the probability that the text is good; null counts as empty. Other columns may have any names.
+
+    The model is at most about 0.7 MB, whatever the data.
+    """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
         turn_to("quality")
         m = held.value
-        if not len(texts):
-            return pd.Series([], dtype="float64")
-        return pd.Series(m.score(np.array([m.features(t) for t in texts])))
+        return pd.Series(m.score(np.array([m.difference(t) for t in texts], float)), dtype="float64")
 
     return probability(F.col(text_col).cast("string"))
