@@ -4,11 +4,14 @@ The pages of a host are merged into one tree: a node is a path of elements (tag
 pages tell how varied it is: by presentation, the entropy of the sequences of children that it shows, and by content,
 how much its blocks differ from page to page. A block that k of m pages of the host repeat says 1 - log_m k; a node's
 content importance is the mean over its blocks. Navigation, banners and notices recur and score low, articles are new
-on each page and score high. Branches of low importance go from each page; so do elements that by their very tag,
-class, id or role are menus, headers, footers, sidebars, notices, adverts, forms or comments. What a page marks as its
-article is evidence for it: the article's root, all that encloses it, and the single paragraphs, headings and cells in
-it are not judged, so a paragraph that many articles share stays. Other branches in an article are judged like those
-outside of it; they stay if nothing else would be left of the article.
+on each page and score high. Branches of low importance go from each page.
+
+All elements with text enter the tree, however they are marked. What a page says about a branch is a prior that its
+importance is multiplied by: MARKED for elements that by their very tag, class, id or role are menus, headers, footers,
+sidebars, notices, adverts, forms or comments. That is strong enough to decide by itself, as menus and readers' comments
+may differ on each page, and it holds on hosts with too few pages to judge. The article's root and all that encloses it
+are not judged, nor are the single paragraphs, headings and cells in it, so a paragraph that many articles share stays.
+Other branches in an article are judged like those outside of it; they stay if nothing else would be left of it.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import private, quoted, ship
 from graphloom.storage import materialise
 
 #: A branch goes if its importance, between 0 and 1, is below this ...
 LEAST_IMPORTANCE = 0.3
-#: ... and at least so many pages of the host show it.
+#: ... and at least so many pages of the host show it. With fewer, a repeated block says little.
 LEAST_PAGES = 10
+#: What the importance of a branch that is marked as something other than the article is multiplied by.
+MARKED = 0.25
 #: Share of the content in a node's importance; the rest is presentation.
 CONTENT_SHARE = 0.9
 #: Tables of at most so many (host, node) pairs are broadcast (about 10 bytes each).
@@ -37,9 +43,13 @@ MOST_NODES = 200_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _DROP = frozenset(
-    "script style noscript template iframe svg math canvas object audio video map select option button input textarea "
-    "form nav footer aside menu dialog head title".split()
+    "script style noscript template iframe svg canvas audio video map select option button input textarea "
+    "form nav footer aside menu head title".split()
 )
+#: Markup, scripts and the like, whose text isn't the page's.
+_HIDDEN = frozenset("script style noscript template iframe svg canvas audio video map head title".split())
+#: These mark a branch unless they are in an article.
+_DROP_OUTSIDE = frozenset("header dialog".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr script style template noscript iframe svg math canvas object audio video "
@@ -56,6 +66,8 @@ _WORDS = frozenset(
 )
 _TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<b>[!?])[^>]*>?|(?P<e>/)?(?P<t>[a-zA-Z][^\s/>]*)(?P<a>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: Names without a value, or values' quoted text, which has no first group.
+_BARE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)|([^\s"'=<>/]+)(?!\s*=)(?=[\s/]|\Z)""")
 _SPACE = re.compile(r"\s+")
 #: In an article these are single pieces of text, which importance doesn't judge.
 _SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre figcaption summary".split())
@@ -73,8 +85,9 @@ class Element:
     tag: str
     name: str  # tag and classes
     path: int  # hash of the names from the root
-    dropped: bool
+    dropped: bool  # marked as something other than the article, itself or by what encloses it
     article: bool
+    hidden: bool = False  # its text isn't the page's
 
 
 @dataclass
@@ -98,6 +111,8 @@ def _names(value: str) -> bool:
 def _attributes(raw: str, judged: bool = True) -> tuple[str, bool]:
     """(classes, whether class, id or role names something to drop, which is asked of ``judged`` elements only)."""
     classes, bad = "", False
+    if raw:
+        bad = any(k.lower() == "hidden" for k in _BARE.findall(raw))
     if "=" in raw:
         for key, value in _ATTR.findall(raw):
             key = key.lower()
@@ -112,7 +127,7 @@ def _attributes(raw: str, judged: bool = True) -> tuple[str, bool]:
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
-    """The page's blocks of text in order, and the children's names of each node."""
+    """The page's blocks of text in order, marked ones too, and the children's names of each node."""
     stack = [Element("", "", 0, False, False)]
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
@@ -127,7 +142,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
             held.clear()
             if text:
                 at = stack[-1]
-                outer = [e.path for e in stack[1:] if e.tag not in _INLINE and not (e.article and e.tag in _SINGLE)]
+                outer = [e.path for e in stack[1:] if e.tag not in _INLINE and not (e.article and not e.dropped and e.tag in _SINGLE)]
                 blocks.append(Block(text, outer, at.dropped, at.article))
 
     def pop(to: int) -> None:
@@ -142,14 +157,14 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
         if tag < 0:
             tag = n
         if tag > at:
-            if not stack[-1].dropped:
+            if not stack[-1].hidden:
                 held.append(page[at:tag])
             at = tag
             if at == n:
                 break
         m = _TAG.match(page, at)
         if m is None:  # a "<" that opens nothing is text
-            if not stack[-1].dropped:
+            if not stack[-1].hidden:
                 held.append("<")
             at += 1
             continue
@@ -191,8 +206,9 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
                 path = paths[parent.path, full] = _hash(parent.path, full)
             children.setdefault(parent.path, []).append(full)
             article = parent.article or name in ("article", "main")
-            dropped = parent.dropped or bad or name in _DROP or (name == "header" and not parent.article)
-            stack.append(Element(name, full, path, dropped, article))
+            dropped = parent.dropped or bad or name in _DROP or (name in _DROP_OUTSIDE and not parent.article)
+            hidden = parent.hidden or name in _HIDDEN or (dropped and not parent.dropped and name in _INLINE)
+            stack.append(Element(name, full, path, dropped, article, hidden))
             if name in ("article", "main") and not dropped:
                 marked.update(e.path for e in stack)
             if name in _RAW:
@@ -206,7 +222,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, tuple[str, ...]]]:
 
 def main_text(blocks: list[Block], low: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks that stay, joined by line ends. ``low`` are the site's nodes of low importance."""
-    blocks = [b for b in blocks if not b.dropped]
+    blocks = [b for b in blocks if not b.dropped]  # importance is 1 at most: times MARKED it is below the least
     kept = [b for b in blocks if low.isdisjoint(b.paths)]
     if not any(b.article for b in kept):
         kept = [b for b in blocks if b.article or low.isdisjoint(b.paths)]
@@ -218,7 +234,7 @@ def host_of(url):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content, importance) of each node that is judged.
+    """(host, node, pages, marked, presentation, content, importance) of each node that is judged.
 
     Counts are summed by (host, node, feature) before they are joined up, so a host of any size costs no task more than
     its distinct features.
@@ -229,22 +245,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
             out = []
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
                 blocks, children = parse(page or "")
-                blocks = [b for b in blocks if b.paths and not b.dropped]
+                marked: dict[int, bool] = {}
                 for b in blocks:
                     feature = _hash(b.text)
-                    out += [(host, p, 0, feature) for p in b.paths]
-                out += [(host, p, 1, _hash(children.get(p, ()))) for p in {p for b in blocks for p in b.paths}]
-            yield pd.DataFrame(out, columns=["host", "node", "kind", "feature"])
+                    out += [(host, p, 0, feature, b.dropped) for p in b.paths]
+                    marked.update((p, marked.get(p, True) and b.dropped) for p in b.paths)
+                out += [(host, p, 1, _hash(children.get(p, ())), m) for p, m in marked.items()]
+            yield pd.DataFrame(out, columns=["host", "node", "kind", "feature", "marked"])
 
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    counted = rows.mapInPandas(run, "host string, node long, kind int, feature long")
-    counted = counted.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    counted = rows.mapInPandas(run, "host string, node long, kind int, feature long, marked boolean")
+    counted = counted.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_and("marked").alias("marked"))
     counted = materialise(counted, "style_features")
     shown = counted.where("kind = 1").groupBy("host", "node").agg(F.sum("k").alias("pages"))
     joined = counted.join(shown, ["host", "node"])
     m = F.greatest(F.log(F.col("pages").cast("double")), F.lit(1e-9))
     share = F.col("k") / F.col("pages")
     by = joined.groupBy("host", "node", "pages").agg(
+        F.bool_and("marked").alias("marked"),
         F.sum(F.when(F.col("kind") == 1, -share * F.log(share))).alias("entropy"),
         (F.sum(F.when(F.col("kind") == 0, F.col("k") * (1 - F.least(F.lit(1.0), F.log(F.col("k").cast("double")) / m))))
          / F.sum(F.when(F.col("kind") == 0, F.col("k")))).alias("content"),
@@ -252,26 +270,30 @@ def style_tree(pages: DataFrame) -> DataFrame:
     one = F.col("pages") < 2
     by = by.withColumn("presentation", F.when(one, 1.0).otherwise(F.col("entropy") / m))
     by = by.withColumn("content", F.when(one, 1.0).otherwise(F.col("content")))
-    return by.select("host", "node", "pages", "presentation", "content",
-                     (F.lit(1 - CONTENT_SHARE) * F.col("presentation") + F.lit(CONTENT_SHARE) * F.col("content")).alias("importance"))
+    both = F.lit(1 - CONTENT_SHARE) * F.col("presentation") + F.lit(CONTENT_SHARE) * F.col("content")
+    prior = F.when(F.col("marked"), MARKED).otherwise(1.0)
+    return by.select("host", "node", "pages", "marked", "presentation", "content", (both * prior).alias("importance"))
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` without html, with ``text``: the blocks that stay in page order, joined by line ends.
 
     Null and empty html give an empty text; a page without a url belongs to the nameless host. Rows that repeat are
-    counted and returned as often as they occur. If no block is left the text is empty.
+    counted and returned as often as they occur. If no block is left the text is empty. A column of ``pages`` that is
+    called ``text`` is replaced, others may have any names; an empty table gives an empty result.
     """
+    ship(pages.sparkSession)
     low = style_tree(pages).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
-    low = materialise(low.select("host", "node"), "low_nodes")
+    low = materialise(low.where("not marked").select("host", "node"), "low_nodes")  # marked ones go by their mark
     few = low.count() <= MOST_NODES
-    low = low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("_low"))
-    rows = pages.withColumn("_at", host_of(F.col("url").cast("string")))
-    rows = rows.join(F.broadcast(low) if few else low, F.col("_at") == F.col("_host"), "left")
+    host, nodes, at = private([*pages.columns, "text"], "_host", "_low", "_at")
+    low = low.groupBy(F.col("host").alias(host)).agg(F.collect_set("node").alias(nodes))
+    rows = pages.withColumn(at, host_of(F.col("url").cast("string")))
+    rows = rows.join(F.broadcast(low) if few else low, F.col(at) == F.col(host), "left")
 
     @F.pandas_udf("string")
     def text(html: pd.Series, nodes: pd.Series) -> pd.Series:
         return pd.Series([main_text(parse(h or "")[0], set() if x is None else set(x)) for h, x in zip(html, nodes, strict=True)], dtype=object)
 
-    columns = [c for c in pages.columns if c != "html"]
-    return rows.select(*columns, text(F.col("html").cast("string"), "_low").alias("text"))
+    columns = quoted(c for c in pages.columns if c.lower() not in ("html", "text"))
+    return rows.select(*columns, text(F.col("html").cast("string"), nodes).alias("text"))
