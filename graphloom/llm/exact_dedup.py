@@ -46,12 +46,8 @@ def _winner() -> list[Column]:
 
 def heavy_groups(rows: DataFrame) -> DataFrame:
     """The verified frequent digests: (digest, group_size, best), at most MOST_HEAVY rows."""
-    spark = rows.sparkSession
-    found = rows.agg(F.expr(f"approx_top_k(key, {MOST_HEAVY}, {COUNTERS})").alias("top")).first()
-    keys = [(x["item"],) for x in (found["top"] or []) if x["count"] > 1]  # bounded: MOST_HEAVY entries
-    if not keys:
-        keys = [(None,)]
-    likely = spark.createDataFrame(keys, "key long")
+    top = rows.agg(F.expr(f"approx_top_k(key, {MOST_HEAVY}, {COUNTERS})").alias("top"))
+    likely = top.select(F.inline("top")).where("count > 1").select(F.col("item").alias("key"))  # MOST_HEAVY rows at most
     size, best = _winner()
     exact = rows.join(F.broadcast(likely), "key", "left_semi")
     exact = exact.groupBy("digest").agg(size.alias("group_size"), best.alias("best"))

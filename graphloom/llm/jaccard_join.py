@@ -179,6 +179,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         got = pd.DataFrame(out, columns=["n", "key", "n_signatures"], dtype=object)
         return got.astype({"n": "int64", "key": "Int64", "n_signatures": "int64"})
 
+    look = look.asNondeterministic()  # or a filter on a part of what it returns would run it once more
     got = docs.select(F.col(id_col).alias("doc_id"), look(F.col(text_col).cast("string")).alias("got"))
     return got.select("doc_id", F.col("got.n").alias("n_shingles"), F.col("got.key").alias("key"), "got.n_signatures")
 
@@ -298,6 +299,7 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
             made.append(s.tobytes())
         return pd.DataFrame({"key": pd.array(keys, "Int64"), "set": made})
 
+    sets = sets.asNondeterministic()  # or the joins' filters on the key would run it once more
     return some.select("id", sets("text").alias("got")).select("id", "got.key", "got.set")
 
 
