@@ -112,7 +112,7 @@ def backfill(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     )
     pages = pages.select("page_title", "links_out_count", "categories_count", "error_message").unionByName(new)
     fresh = pages.select("page_title").distinct().join(seen, "page_title", "left_anti")
-    return tables | {"pages": pages, "discovered_pages": seen.select("page_title").unionByName(fresh)}
+    return tables | {"pages": pages, "discovered_pages": seen.unionByName(fresh, allowMissingColumns=True)}
 
 
 _REWRITE = {

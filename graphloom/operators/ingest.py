@@ -65,7 +65,7 @@ def crawl_records(requests: DataFrame, responses: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     lists = {c: F.when(F.col("error").isNull(), F.coalesce(c, empty)).otherwise(empty) for c in ("links_out", "categories")}
     rows = rows.withColumns(lists)
-    return rows.select("page_title", F.size("links_out").alias("links_out_count"), "links_out",
+    return rows.select("batch", "page_title", F.size("links_out").alias("links_out_count"), "links_out",
                        F.size("categories").alias("categories_count"), "categories", "error")
 
 
@@ -100,25 +100,28 @@ def clean_failed(failed: DataFrame, searched: DataFrame) -> DataFrame:
 
 
 def store_records(tables: dict[str, DataFrame], records: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
-    """The crawl tables after the records; of several records of a title the last by ``order`` sets pages' row.
+    """The crawl tables after the records; of several records of a title the last by ``order`` sets pages' row, then one
+    with an error, then the one with the most links.
 
     Counts are the lists' lengths. A success marks the title as searched and removes its failure; a later error in the
     same batch brings the failure back and sets the counts to 0. Links and categories only ever grow, and only by
     records without error.
     """
-    last = Window.partitionBy("page_title").orderBy(F.desc(order) if order else F.lit(1))
+    ties = [F.col("error").isNull(), F.desc(F.size("links_out")), F.desc(F.size("categories")), F.xxhash64("links_out", "categories")]
+    last = Window.partitionBy("page_title").orderBy(*([F.desc(order)] if order else []), *ties)
     rows = records.withColumn("_last", F.row_number().over(last) == 1)
     good, now = rows.where("error is null"), rows.where("_last")
     lists = {c: F.when(F.col("error").isNull(), F.size(c)).otherwise(0) for c in ("links_out", "categories")}
     pages = now.select("page_title", lists["links_out"].alias("links_out_count"), lists["categories"].alias("categories_count"),
                        F.col("error").alias("error_message"))
-    failures = now.where("error is not null").select("page_title", F.col("error").alias("error_message"))
+    at = lambda t, c: [F.lit(None).cast("timestamp").alias(c)] if c in tables[t].columns else []  # noqa: E731 - set as it is stored
+    failures = now.where("error is not null").select("page_title", *at("failed_pages", "failed_at"), F.col("error").alias("error_message"))
     links = good.select(F.col("page_title").alias("source_title"), F.explode("links_out").alias("target_title"))
     cats = good.select("page_title", F.explode("categories").alias("category_name"))
     failed = tables["failed_pages"].join(good, "page_title", "left_anti")
     return tables | {
         "pages": upsert(tables["pages"], pages, ["page_title"]),
-        "searched_pages": insert_or_ignore(tables["searched_pages"], good.select("page_title"), ["page_title"]),
+        "searched_pages": insert_or_ignore(tables["searched_pages"], good.select("page_title", *at("searched_pages", "searched_at")), ["page_title"]),
         "failed_pages": upsert(failed, failures, ["page_title"]),
         "page_links": insert_or_ignore(tables["page_links"], links, ["source_title", "target_title"]),
         "page_categories": insert_or_ignore(tables["page_categories"], cats, ["page_title", "category_name"]),
