@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import component_sizes
+from graphloom.runtime import ship
 from graphloom.storage import materialise
 
 #: Names of categories that say nothing about a community, as patterns over lower-case names.
@@ -67,13 +68,14 @@ def name_candidates(assignments: DataFrame, categories: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where("coverage > 0")
 
 
-def cluster_names(assignments: DataFrame, categories: DataFrame, candidates: int = 50) -> DataFrame:
+def cluster_names(assignments: DataFrame, categories: DataFrame) -> DataFrame:
     """(cluster_id, cluster_color, cluster_name): in order of id, each cluster takes its best candidate that is free.
 
-    Without one it is called by its first two titles. The greedy choice is sequential over clusters, a few candidates
-    each; it runs in one task, which a count of communities, not of pages, bounds.
+    Without one it is called by its first two titles. The greedy choice is sequential over clusters and may need any of
+    their candidates; one task reads them, a cluster at a time, after they were ranked and stored by many.
     """
-    ranked = name_candidates(assignments, categories).where(F.col("rank") <= candidates)
+    ship(assignments.sparkSession)
+    ranked = name_candidates(assignments, categories)
     lists = ranked.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("c"))
     place = Window.partitionBy("cluster_id").orderBy("page_title")
     first = assignments.withColumn("k", F.row_number().over(place)).where("k <= 2").groupBy("cluster_id").agg(
@@ -94,7 +96,8 @@ def cluster_names(assignments: DataFrame, categories: DataFrame, candidates: int
                 out.append((cluster, name if name is not None else fallback or f"Cluster {cluster}"))
             yield pd.DataFrame(out, columns=["cluster_id", "cluster_name"])
 
-    named = rows.coalesce(1).sortWithinPartitions("cluster_id").mapInPandas(choose, "cluster_id long, cluster_name string")
+    rows = materialise(rows, "cluster_candidates")  # or the joins above would run in that one task, too
+    named = rows.repartition(1).sortWithinPartitions("cluster_id").mapInPandas(choose, "cluster_id long, cluster_name string")
     return named.select("cluster_id", color(F.col("cluster_id")).alias("cluster_color"), "cluster_name")
 
 
@@ -191,6 +194,7 @@ def communities(edges: DataFrame, seed: int = SEED, resolution: float = RESOLUTI
     """
     from graphloom.operators.graph import ids_of
 
+    ship(edges.sparkSession)
     sizes = materialise(component_sizes(edges).where(F.col("size") >= smallest), "kept_pages")
     ids = materialise(ids_of(sizes.select("page_title")), "page_ids")
     label = sizes.join(ids, "page_title")

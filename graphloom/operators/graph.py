@@ -78,7 +78,7 @@ def node_payload(layout: DataFrame, colors: DataFrame, categories: DataFrame, la
     """Nodes as clients get them, with the cluster's name and the page's categories."""
     names = colors.select(F.col("cluster_id").alias("_cluster"), "cluster_name", F.col("cluster_color").alias("_color"))
     lists = categories.groupBy("page_title").agg(F.array_sort(F.collect_list("category_name")).alias("categories"))
-    rows = layout.join(F.broadcast(names), F.col("cluster_id") == F.col("_cluster"), "left").join(lists, "page_title", "left")
+    rows = layout.join(names, F.col("cluster_id") == F.col("_cluster"), "left").join(lists, "page_title", "left")
     color = F.coalesce("cluster_color", "_color") if "cluster_color" in layout.columns else F.col("_color")
     out = [F.col("page_title").alias("id"), "x", "y", F.col("node_size").alias("size"), color.alias("color"), "cluster_id",
            "cluster_name", "in_degree", "out_degree", F.coalesce("categories", F.array().cast("array<string>")).alias("categories")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.clusters import cluster_weights
 from graphloom.operators.graph import both_ends_in, degrees, edge_nodes, node_size
+from graphloom.runtime import ship
 
 #: Fixed values of the layout.
 SMALL = 1500  # pages of a community that is laid out as a whole
@@ -110,8 +111,9 @@ def local_layout(n: int, a: np.ndarray, b: np.ndarray, seed: int = 42) -> np.nda
     """A community's own layout, about -1 .. 1.
 
     Up to SMALL pages by forces, then neighbours pushed apart. Of larger ones the pages of highest degree are anchors,
-    laid out by forces; each other page lies near the weighted mean of its up to eight strongest anchors, a little off by
-    a fixed pattern, and without any on a ring.
+    laid out by forces; each other page lies near the weighted mean of its up to eight strongest anchors, pulled towards
+    one of them, and without any on one of all anchors in turn; a little off by a fixed pattern that grows with the
+    number of its anchors.
     """
     if n == 1:
         return np.zeros((1, 2))
@@ -125,13 +127,15 @@ def local_layout(n: int, a: np.ndarray, b: np.ndarray, seed: int = 42) -> np.nda
     both = (place[a] >= 0) & (place[b] >= 0) & (a != b)
     fixed = normalised(forces(k, place[a][both], place[b][both], seed=seed)) / EXTENT
     i = np.arange(n)
-    off = np.column_stack([(i * 92821) % 1000, (i * 68917) % 1000]) / 1000.0 - 0.5
+    # The factors of the pattern, its scales, the pull.
+    off = np.column_stack([(i * k) % 1000 for k in (92821, 68917, 39119)]) / 1000.0 - 0.5
     p = np.zeros((n, 2))
     x, y = np.concatenate([a, b]), np.concatenate([b, a])
     use = (place[x] < 0) & (place[y] >= 0)
     x, y = x[use], y[use]
     order = np.lexsort((y, -degree[y], x))
     x, y = x[order], y[order]
+    anchored = np.bincount(x, minlength=n)
     first = np.searchsorted(x, x, "left")
     top = np.arange(len(x)) - first < 8
     x, y = x[top], y[top]
@@ -139,19 +143,33 @@ def local_layout(n: int, a: np.ndarray, b: np.ndarray, seed: int = 42) -> np.nda
     total = np.bincount(x, w, minlength=n)
     for c in (0, 1):
         p[:, c] = np.bincount(x, w * fixed[place[y], c], minlength=n) / np.maximum(total, 1e-9)
-    angle = 2 * np.pi * ((i * 39119) % 1000) / 1000.0
-    ring = np.column_stack([np.cos(angle), np.sin(angle)]) * 0.95
-    p = np.where(total[:, None] > 0, p + off * 0.12, ring + off * 0.1)
+    used = np.minimum(anchored, 8)
+    pulled = np.flatnonzero(used > 1)
+    second = y[np.searchsorted(x, pulled) + pulled % used[pulled]]
+    p[pulled] = 0.82 * p[pulled] + 0.18 * fixed[place[second]]
+    p[total == 0] = fixed[i[total == 0] % k]
+    scale = 0.06 + 0.05 * np.minimum(1.0, anchored / 4.0)
+    p += off[:, :2] * scale[:, None] + off[:, 2:] * np.array([0.025, -0.02])
     p[anchors] = fixed
     return repel(p, 10, 0.02, 0.01)
 
 
+def dropped(edges: DataFrame, assignments: DataFrame) -> DataFrame:
+    """One row: nodes and edges of the graph that have no cluster, or an end without one, and so no place."""
+    inner = both_ends_in(edges, assignments)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))  # noqa: E731 - a row each
+    nodes = edge_nodes(edges).join(assignments.select("page_title"), "page_title", "left_anti")
+    every = count(edges, "every").crossJoin(count(inner, "inner_edges"))
+    return count(nodes, "dropped_nodes").crossJoin(every).select("dropped_nodes", (F.col("every") - F.col("inner_edges")).alias("dropped_edges"))
+
+
 def layout(edges: DataFrame, assignments: DataFrame, colors: DataFrame, seed: int = 42) -> DataFrame:
     """The nodes_layout table of the pages that have a cluster and an edge to another such page.
 
     Degrees count edges between such pages. Communities are laid out as independent groups; the largest one bounds a
     task. The coarse map has a row per community. A cluster without a colour raises.
     """
+    ship(edges.sparkSession)
     inner = both_ends_in(edges, assignments)
     pages = edge_nodes(inner).join(assignments, "page_title")
     one = assignments.select(F.col("page_title").alias("source_title"), F.col("cluster_id").alias("cs"))
@@ -173,10 +191,10 @@ def layout(edges: DataFrame, assignments: DataFrame, colors: DataFrame, seed: in
     centres = coarse_layout(cluster_weights(inner, assignments).orderBy("a", "b").toPandas(), clusters) if clusters else {}
     spark = edges.sparkSession
     middle = spark.createDataFrame([(int(c), *xy) for c, xy in centres.items()], "cluster_id long, cx double, cy double")
-    met = local.join(F.broadcast(middle), "cluster_id").select("page_title", "cluster_id", (F.col("lx") + F.col("cx")).alias("x"), (F.col("ly") + F.col("cy")).alias("y"))
+    met = local.join(middle, "cluster_id").select("page_title", "cluster_id", (F.col("lx") + F.col("cx")).alias("x"), (F.col("ly") + F.col("cy")).alias("y"))
     scaled = normalise_columns(met).join(degrees(inner), "page_title")
     color = colors.select(F.col("cluster_id").cast("long").alias("cluster_id"), "cluster_color")
-    out = scaled.join(F.broadcast(color), "cluster_id", "left")
+    out = scaled.join(color, "cluster_id", "left")
     missing = F.raise_error(F.concat(F.lit("no colour for cluster "), F.col("cluster_id").cast("string")))
     return out.select("page_title", "x", "y", F.col("cluster_id").cast("int").alias("cluster_id"),
                       F.coalesce("cluster_color", missing.cast("string")).alias("cluster_color"),
