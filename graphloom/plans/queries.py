@@ -9,6 +9,7 @@ from graphloom.functions import titles as T
 from graphloom.operators import canonical, clusters, components, graph, ingest, layout, paths, tiles
 from graphloom.sources.testgraph import graph_table, with_tables
 from graphloom.storage import materialise, table
+from graphloom.streaming import crawl
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -242,6 +243,22 @@ def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_pages(_pages(t["page_links"]), _aliases(t))
 
 
+@query(_T + """, fl AS (SELECT title AS page_title, CASE WHEN length(title) % 3 > 0 THEN concat('e', length(title) % 7) END AS error_message FROM ti)
+SELECT coalesce(canonical_title, page_title) AS page_title, min(error_message) AS error_message FROM fl LEFT JOIN am ON old_title = page_title GROUP BY 1""")
+def canonical_failed(spark: SparkSession, d: str) -> DataFrame:
+    t = _dirty(spark, d)
+    error = F.when(F.length("title") % 3 > 0, F.concat(F.lit("e"), (F.length("title") % 7).cast("string")))
+    return canonical.canonical_failed(canonical.all_titles(t).select(F.col("title").alias("page_title"), error.alias("error_message")), _aliases(t))
+
+
+@query(_T + """ SELECT title, replace(lower(trim(regexp_replace(replace(title, '_', ' '), '\\s+', ' ', 'g'))), 'ß', 'ss') AS match_key,
+replace(replace(url_encode(replace(title, ' ', '_')), '%28', '('), '%29', ')') AS page_path, regexp_replace('Category:' || title, '^Category:', '') AS category_name FROM ti""")
+def title_forms(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return canonical.all_titles(_dirty(spark, d)).select("title", T.match_key(t).alias("match_key"), T.page_path(t).alias("page_path"),
+                                                         T.category_name(F.concat(F.lit("Category:"), t)).alias("category_name"))
+
+
 @query(_T + """ SELECT coalesce(canonical_title, title) AS page_title, min(length(title) % 5) AS cluster_id FROM ti LEFT JOIN am ON old_title = title GROUP BY 1""")
 def canonical_clusters(spark: SparkSession, d: str) -> DataFrame:
     t = _dirty(spark, d)
@@ -292,9 +309,21 @@ def cluster_name_candidates(spark: SparkSession, d: str) -> DataFrame:
     return clusters.name_candidates(graph_table(spark, d, "cluster_assignments"), graph_table(spark, d, "page_categories"))
 
 
-@query()
+_NAMES = """, rk AS (SELECT cluster_id, name, row_number() OVER (PARTITION BY cluster_id ORDER BY coverage DESC, uses DESC, length(name), lower(name), name) AS rank
+ FROM c WHERE coverage > 0),
+cl AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS k, array_to_string(list(page_title ORDER BY page_title)[1:2], ' / ') AS fallback
+ FROM cluster_assignments GROUP BY cluster_id),
+ls AS (SELECT k, cl.cluster_id, fallback, coalesce(list(name ORDER BY rank) FILTER (name IS NOT NULL), []) AS names FROM cl LEFT JOIN rk ON rk.cluster_id = cl.cluster_id GROUP BY ALL),
+gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS name
+ UNION ALL SELECT ls.k, CASE WHEN p IS NULL THEN used ELSE list_append(used, lower(p)) END, p
+ FROM (SELECT ls.k, used, list_filter(names, lambda x: NOT list_contains(used, lower(x)))[1] AS p FROM gr JOIN ls ON ls.k = gr.k + 1) s JOIN ls ON ls.k = s.k)"""
+
+
+@query((with_tables("page_categories", "cluster_assignments") + _CAND + _NAMES).replace("WITH ", "WITH RECURSIVE ", 1) + """
+ SELECT ls.cluster_id, coalesce(gr.name, fallback) AS cluster_name FROM gr JOIN ls ON ls.k = gr.k""")
 def cluster_names(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.cluster_names(graph_table(spark, d, "cluster_assignments"), graph_table(spark, d, "page_categories"))
+    found = clusters.cluster_names(graph_table(spark, d, "cluster_assignments"), graph_table(spark, d, "page_categories"))
+    return found.select(F.col("cluster_id").cast("int").alias("cluster_id"), "cluster_name")
 
 
 _COLOR = """, k AS (SELECT DISTINCT cluster_id FROM cluster_assignments), h AS (SELECT cluster_id, (cluster_id * 0.618033988749895e0) % 1.0e0 AS h FROM k),
@@ -355,61 +384,83 @@ def graph_layout(spark: SparkSession, d: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------------------------------------- paths
 
-_BFS = SEARCHED.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT source_title AS start FROM e GROUP BY 1 ORDER BY 1 LIMIT 3),
-w AS (SELECT start, start AS node, 0 AS depth FROM st UNION SELECT w.start, e.target_title, w.depth + 1 FROM w JOIN e ON e.source_title = w.node WHERE w.depth < 60),
-t AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL)"""
+_BFS = SEARCHED.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT DISTINCT source_title AS start FROM e),
+t(start, node, depth) USING KEY (start, node) AS (SELECT start, start, 0 FROM st UNION
+ SELECT t.start, e.target_title, min(t.depth) + 1 FROM t JOIN e ON e.source_title = t.node
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.t r WHERE r.start = t.start AND r.node = e.target_title) GROUP BY t.start, e.target_title)"""
+_TREE = _BFS + """, tr AS (SELECT t.start, t.node, t.depth, min(p.node) AS pred FROM t LEFT JOIN e ON e.target_title = t.node AND t.depth > 0
+ LEFT JOIN t p ON p.start = t.start AND p.node = e.source_title AND p.depth = t.depth - 1 GROUP BY ALL)"""
+_FAR = _TREE + """, fa AS (SELECT start, node, depth FROM tr QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, node) = 1),
+up(start, node, here, path) AS (SELECT start, node, node, node FROM fa UNION ALL
+ SELECT up.start, up.node, tr.pred, tr.pred || ' -> ' || up.path FROM up JOIN tr ON tr.start = up.start AND tr.node = up.here WHERE tr.pred IS NOT NULL),
+pa AS (SELECT start, node, path FROM up WHERE here = start)"""
 
 
-def _starts(edges: DataFrame, n: int) -> DataFrame:
-    return edges.select(F.col("source_title").alias("page_title")).distinct().orderBy("page_title").limit(n)
+def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Searched edges, and every page that has a way out."""
+    edges = materialise(_searched(spark, d), "edges")
+    return edges, edges.select(F.col("source_title").alias("page_title")).distinct()
 
 
-@query(_BFS + """ SELECT t.start, t.node, t.depth, min(p.node) AS pred FROM t LEFT JOIN e ON e.target_title = t.node AND t.depth > 0
-LEFT JOIN t p ON p.start = t.start AND p.node = e.source_title AND p.depth = t.depth - 1 GROUP BY ALL""")
+@query(_TREE + " SELECT * FROM tr")
 def bfs_tree(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(_searched(spark, d), "edges")
-    return paths.bfs(edges, _starts(edges, 3))
+    return paths.bfs(*_searches(spark, d))
 
 
 @query(_BFS + " SELECT start, node AS farthest_title, depth FROM t QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, node) = 1")
 def bfs_farthest(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(_searched(spark, d), "edges")
-    return paths.farthest(paths.bfs(edges, _starts(edges, 3)))
-
-
-@query(_BFS + """ SELECT start AS start_node, node AS farthest_node, CAST(depth AS BIGINT) AS depth FROM t
-QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, node) = 1""")
-def bfs_eccentricities(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(_searched(spark, d), "edges")
-    return paths.eccentricities(edges, _starts(edges, 3)).select("start_node", "farthest_node", "depth")
+    return paths.farthest(paths.bfs(*_searches(spark, d)))
 
 
-@query()
+@query(_FAR + """ SELECT start AS start_node, node AS farthest_node, CAST(depth AS BIGINT) AS depth, path FROM fa JOIN pa USING (start, node)""")
 def eccentricities(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(_searched(spark, d), "edges")
-    return paths.eccentricities(edges, edges.select(F.col("source_title").alias("page_title")).distinct())
+    return paths.eccentricities(*_searches(spark, d))
 
 
-@query()
+@query(_FAR + " SELECT start, node, depth AS path_length, path FROM fa JOIN pa USING (start, node)")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    edges = materialise(_searched(spark, d), "edges")
-    tree = materialise(paths.bfs(edges, _starts(edges, 2)), "tree")
-    goals = paths.farthest(tree).select("start", F.col("farthest_title").alias("node"))
-    return paths.path_to(tree, goals)
+    edges, starts = _searches(spark, d)
+    tree = materialise(paths.bfs(edges, starts), "tree")
+    return paths.path_to(tree, paths.farthest(tree).select("start", F.col("farthest_title").alias("node")))
 
 
-@query()
+_SUMMARY = _TREE.replace("SELECT DISTINCT source_title AS start FROM e", "SELECT min(source_title) AS start FROM e") + """,
+en AS (SELECT max(target_title) AS node FROM e), fa AS (SELECT node, depth FROM tr ORDER BY depth DESC, node LIMIT 1),
+up(node, here, path) AS (SELECT node, node, node FROM tr WHERE node IN (SELECT node FROM en UNION SELECT node FROM fa) UNION ALL
+ SELECT up.node, tr.pred, tr.pred || ' -> ' || up.path FROM up JOIN tr ON tr.node = up.here WHERE tr.pred IS NOT NULL),
+pa AS (SELECT node, path FROM up WHERE here = (SELECT start FROM st))"""
+
+
+@query(_SUMMARY + """ SELECT x.depth IS NOT NULL AS found, coalesce(x.depth, -1) AS target_path_length, coalesce(p.path, 'NOT FOUND') AS target_path,
+ fa.depth AS longest_path_length, fa.node AS farthest_title, q.path AS longest_path
+FROM en CROSS JOIN fa JOIN pa q ON q.node = fa.node LEFT JOIN tr x ON x.node = en.node LEFT JOIN pa p ON p.node = en.node""")
 def bfs_summary(spark: SparkSession, d: str) -> DataFrame:
     edges = materialise(_searched(spark, d), "edges")
     ends = edges.agg(F.min("source_title"), F.max("target_title")).first()
     return paths.bfs_summary(edges, ends[0], ends[1])
 
 
+#: Walks into each page; the operator's own figure is for a run of hours.
+WALKS = 1000
+
+
 @query()
 def longest_incoming_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = materialise(_searched(spark, d), "edges")
-    goals = edges.select(F.col("target_title").alias("page_title")).distinct().orderBy(F.desc("page_title")).limit(2)
-    return paths.longest_incoming(edges, goals)
+    return paths.longest_incoming(edges, edges.select(F.col("target_title").alias("page_title")).distinct(), WALKS)
+
+
+_RES = """res AS (SELECT o_custkey AS start, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(o_custkey % 97 AS STRING) END AS path_length,
+ o_orderkey AS line FROM orders)"""
+
+
+@query("WITH " + _RES.replace("STRING", "VARCHAR") + """ SELECT start, TRY_CAST(path_length AS INT) AS path_length, line,
+ (SELECT max(TRY_CAST(path_length AS INT)) FROM res) AS greatest FROM res
+WHERE TRY_CAST(path_length AS INT) IS NOT NULL ORDER BY TRY_CAST(path_length AS INT) DESC, line LIMIT 1""")
+def best_result(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql("WITH " + _RES + " SELECT * FROM res")
+    return paths.best_row(rows).crossJoin(paths.greatest_length(rows))  # a row each
 
 
 # ----------------------------------------------------------------------------------------------------------- tiles
@@ -477,7 +528,7 @@ def disc_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, d: str) -> DataFrame:
-    return _layout(spark, d).join(F.broadcast(_colors(spark, d).drop("cluster_name")), "cluster_id")
+    return _layout(spark, d).join(_colors(spark, d).drop("cluster_name"), "cluster_id")
 
 
 _GEO = _LB.replace("WITH ", with_tables("page_links", "cluster_assignments") + ", ", 1) + _COLOR + """,
@@ -502,14 +553,30 @@ def _edge_tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return materialise(tiles.edge_tiles(geometry, 6), "edge_tiles"), geometry
 
 
-@query()
+# The walk from border to border, a step at a time for all edges at once.
+_WALK = _GEO.split("SELECT edge_id, source_title")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ge AS (SELECT edge_id, p.gx AS x1, p.gy AS y1, q.gx AS x2, q.gy AS y2 FROM el JOIN nd p ON p.page_title = source_title JOIN nd q ON q.page_title = target_title),
+g1 AS (SELECT *, sign(x2 - x1) AS sx, sign(y2 - y1) AS sy, greatest(0, least(63, floor(x1 / 1024))) AS ax, greatest(0, least(63, floor(y1 / 1024))) AS ay,
+ greatest(0, least(63, floor(x2 / 1024))) AS ex, greatest(0, least(63, floor(y2 / 1024))) AS ey FROM ge),
+wk(edge_id, tx, ty, nx, ny, k) AS (SELECT edge_id, ax, ay,
+ CASE WHEN sx = 0 THEN 'infinity'::DOUBLE ELSE ((ax + (sx > 0)::INT) * 1024 - x1) / (x2 - x1) END,
+ CASE WHEN sy = 0 THEN 'infinity'::DOUBLE ELSE ((ay + (sy > 0)::INT) * 1024 - y1) / (y2 - y1) END, 0 FROM g1
+ UNION ALL SELECT edge_id, tx, ty, nx, ny, k FROM (SELECT w.edge_id, w.tx + CASE WHEN w.nx <= w.ny THEN sx ELSE 0 END AS tx,
+ w.ty + CASE WHEN w.ny <= w.nx THEN sy ELSE 0 END AS ty,
+ CASE WHEN w.nx <= w.ny THEN w.nx + CASE WHEN sx = 0 THEN 'infinity'::DOUBLE ELSE 1024 / abs(x2 - x1) END ELSE w.nx END AS nx,
+ CASE WHEN w.ny <= w.nx THEN w.ny + CASE WHEN sy = 0 THEN 'infinity'::DOUBLE ELSE 1024 / abs(y2 - y1) END ELSE w.ny END AS ny, w.k + 1 AS k
+ FROM wk w JOIN g1 USING (edge_id) WHERE NOT (w.tx = ex AND w.ty = ey) AND w.k < 264) WHERE tx BETWEEN 0 AND 63 AND ty BETWEEN 0 AND 63),
+et AS (SELECT DISTINCT CAST(z.zoom AS INT) AS zoom, CAST(tx AS INT) >> (6 - z.zoom)::INT AS tx, CAST(ty AS INT) >> (6 - z.zoom)::INT AS ty, edge_id
+ FROM wk, (SELECT unnest(range(7)) AS zoom) z)"""
+
+
+@query(_WALK + " SELECT * FROM et")
 def edge_tiles(spark: SparkSession, d: str) -> DataFrame:
-    found = _edge_tiles(spark, d)[0]
-    ids = F.array_join(F.array_sort(F.collect_set("edge_id")), ",").alias("edge_ids")
-    return found.groupBy("zoom", "tx", "ty").agg(ids, F.count(F.lit(1)).alias("n"))
+    return _edge_tiles(spark, d)[0]
 
 
-@query()
+@query(_WALK + """ SELECT zoom, count(*) AS memberships,
+ count(DISTINCT xor(CAST(tx AS BIGINT) * 73856093, CAST(ty AS BIGINT) * 19349663) % 128) AS shards FROM et GROUP BY zoom""")
 def edge_tile_shards(spark: SparkSession, d: str) -> DataFrame:
     found = _edge_tiles(spark, d)[0].withColumn("shard", tiles.shard(F.col("tx"), F.col("ty")))
     return found.groupBy("zoom").agg(F.count(F.lit(1)).alias("memberships"), F.countDistinct("shard").alias("shards"))
@@ -535,12 +602,13 @@ def _payload(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_payload(_layout(spark, d), _colors(spark, d), graph_table(spark, d, "page_categories"))
 
 
-_PAY = with_tables("nodes_layout", "page_categories", "cluster_assignments") + _COLOR + """,
+_PAYLOAD = _COLOR + """,
 kc AS (SELECT cluster_id, CASE WHEN cluster_id % 5 <> 0 THEN concat('cluster ', cluster_id) END AS cluster_name,
  printf('#%02x%02x%02x', CAST(trunc(r * 255) AS INT), CAST(trunc(g * 255) AS INT), CAST(trunc(b * 255) AS INT)) AS color FROM m),
 py AS (SELECT page_title AS id, x, y, round(node_size, 6) AS size, color, nodes_layout.cluster_id, cluster_name, in_degree, out_degree,
  coalesce((SELECT string_agg(category_name, '||' ORDER BY category_name) FROM page_categories c WHERE c.page_title = nodes_layout.page_title), '') AS categories
  FROM nodes_layout LEFT JOIN kc ON kc.cluster_id = nodes_layout.cluster_id)"""
+_PAY = with_tables("nodes_layout", "page_categories", "cluster_assignments") + _PAYLOAD
 
 
 @query(_PAY + " SELECT * FROM py")
@@ -555,12 +623,17 @@ def search_index(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(ids, "page_title").select(F.col("node").alias("id"), "color", (F.col("id") + 1).alias("place"))
 
 
-@query()
+@query(_PT.replace("WITH ", with_tables("page_categories", "cluster_assignments") + ", ", 1) + _PAYLOAD + """,
+pj AS (SELECT id, x, y, size, color, CAST(cluster_id AS INT) AS cluster_id, cluster_name, in_degree, out_degree,
+ CASE WHEN categories = '' THEN [] ELSE string_split(categories, '||') END AS categories FROM py)
+SELECT CAST(zoom AS INT) AS zoom, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(to_json(list(pj ORDER BY id)) AS VARCHAR) AS body
+FROM pt JOIN pj ON pj.id = pt.page_title GROUP BY ALL""")
 def chunk_json(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.chunk_json(tiles.point_tiles(_layout(spark, d), [6, 7]), _payload(spark, d))
+    payload = _payload(spark, d).withColumn("size", F.round("size", 6))
+    return tiles.chunk_json(tiles.point_tiles(_layout(spark, d), [6, 7]), payload)
 
 
-@query(FILTERED.replace("WITH ", with_tables("nodes_layout") + ", ", 1) + """, t AS (SELECT DISTINCT source_title AS node_id FROM e ORDER BY 1 LIMIT 20),
+@query(FILTERED.replace("WITH ", with_tables("nodes_layout") + ", ", 1) + """, t AS (SELECT source_title AS node_id FROM e UNION SELECT target_title FROM e),
 o AS (SELECT source_title AS node_id, target_title AS q, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_title, source_title, 0, 1 FROM e),
 n AS (SELECT node_id, q, max(o) AS o, max(i) AS i FROM o GROUP BY ALL)
 SELECT node_id, coalesce(string_agg(q, '|' ORDER BY q), '') AS neighbors, coalesce(string_agg(q, '|' ORDER BY q) FILTER (o = 1), '') AS outs,
@@ -569,7 +642,7 @@ SELECT node_id, coalesce(string_agg(q, '|' ORDER BY q), '') AS neighbors, coales
 FROM t JOIN n USING (node_id) GROUP BY node_id""")
 def neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
     edges = _filtered(spark, d)
-    found = graph.neighbourhood(_starts(edges, 20), edges, _layout(spark, d), _colors(spark, d), graph_table(spark, d, "page_categories"))
+    found = graph.neighbourhood(graph.edge_nodes(edges), edges, _layout(spark, d), _colors(spark, d), graph_table(spark, d, "page_categories"))
     ids = F.transform("neighbor_nodes", lambda s: s["id"])
     return found.select("node_id", *[F.array_join(c, "|").alias(n) for c, n in (("neighbors", "neighbors"), ("out", "outs"), ("in", "ins"))],
                         F.array_join(ids, "|").alias("placed"))
@@ -581,3 +654,110 @@ WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 30""")
 def close_pairs(spark: SparkSession, d: str) -> DataFrame:
     found = layout.close_pairs(_layout(spark, d).withColumnRenamed("page_title", "id"), 30.0)
     return found.select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+# -------------------------------------------------------------------------------------------------- crawl and layout
+
+# Answers as the API gives them, made from the graph: by number of the title exact, normalised, redirected or spelt anew;
+# every seventh batch fails, links to other namespaces and repeated ones are among the links.
+_ASK = with_tables("page_links", "page_categories") + """, ask AS (SELECT CAST(c_custkey AS BIGINT) AS n, concat('C', CAST(c_custkey AS STRING)) AS page_title,
+ CAST(floor(c_custkey / 20) AS BIGINT) AS batch, CAST(c_custkey % 20 AS INT) AS pos FROM customer)"""
+_RECORDS = _ASK.replace("STRING", "VARCHAR") + """, lk AS (SELECT source_title AS p, string_agg(DISTINCT target_title, '|' ORDER BY target_title) AS links FROM page_links GROUP BY 1),
+ca AS (SELECT page_title AS p, string_agg(DISTINCT category_name, '|' ORDER BY category_name) AS cats FROM page_categories GROUP BY 1),
+rec AS (SELECT batch, page_title, CASE WHEN batch % 7 = 0 THEN '' ELSE coalesce(links, '') END AS links, CASE WHEN batch % 7 = 0 THEN '' ELSE coalesce(cats, '') END AS categories,
+ CASE WHEN batch % 7 = 0 THEN 'down' END AS error FROM ask LEFT JOIN lk ON lk.p = page_title LEFT JOIN ca ON ca.p = page_title)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("n"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("page_title"))
+    ask = rows.select("n", "page_title", F.floor(F.col("n") / 20).alias("batch"), (F.col("n") % 20).cast("int").alias("pos"))
+    link = lambda ns, t: F.struct(F.lit(ns).alias("ns"), t.alias("title"))
+    links = graph_table(spark, d, "page_links").groupBy(F.col("source_title").alias("page_title")).agg(
+        F.collect_list(link(0, F.col("target_title"))).alias("a"), F.collect_list(link(10, F.col("target_title"))).alias("b"))
+    cats = graph_table(spark, d, "page_categories").groupBy("page_title").agg(
+        F.collect_list(F.struct(F.concat(F.lit("Category:"), F.col("category_name")).alias("title"))).alias("categories"))
+    kind, name = F.col("n") % 4, F.col("page_title")
+    title = F.when(kind == 1, F.concat(F.lit("Norm "), name)).when(kind == 2, F.concat(F.lit("Led "), name)).when(kind == 3, F.concat(F.lit("_"), F.lower(name), F.lit(" "))).otherwise(name)
+    rows = ask.join(links, "page_title", "left").join(cats, "page_title", "left").withColumn("title", title)
+    page = F.struct("title", F.concat("a", "b", "a").alias("links"), "categories")
+    pair = F.struct(name.alias("from"), F.col("title").alias("to"))
+    body = rows.groupBy("batch").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("n").cast("string"), page))).alias("pages"),
+        F.collect_list(F.when(kind == 1, pair)).alias("normalized"), F.collect_list(F.when(kind == 2, pair)).alias("redirects"))
+    failed = F.col("batch") % 7 == 0
+    text = F.to_json(F.struct(F.struct("pages", "normalized", "redirects").alias("query")))
+    answers = body.select("batch", F.when(~failed, text).alias("body"), F.when(failed, F.lit("down")).alias("error"))
+    return ingest.crawl_records(ask.select("batch", "pos", "page_title"), ingest.parse_responses(answers).select("batch", "response", "error"))
+
+
+@query(_RECORDS + """ SELECT batch, page_title, len(string_split(links, '|')) * (links <> '')::INT AS links_out_count, links,
+ len(string_split(categories, '|')) * (categories <> '')::INT AS categories_count, categories, error FROM rec""")
+def crawl_records(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("batch", "page_title", F.col("links_out_count").cast("long").alias("links_out_count"), F.array_join("links_out", "|").alias("links"),
+                                     F.col("categories_count").cast("long").alias("categories_count"), F.array_join("categories", "|").alias("categories"), "error")
+
+
+@query(_RECORDS + " SELECT count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS error FROM rec")
+def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.counters(_records(spark, d))
+
+
+# What was stored before: a failure for every fifth title, a row in pages for every third, every eleventh searched.
+_STORED = _RECORDS + """, of AS (SELECT page_title, 'old' AS error_message FROM ask WHERE n % 5 = 0), op AS (SELECT page_title, 1 AS links_out_count, 1 AS categories_count,
+ 'old' AS error_message FROM ask WHERE n % 3 = 0), os AS (SELECT page_title FROM ask WHERE n % 11 = 0)"""
+
+
+def _stored(spark: SparkSession, d: str, name: str) -> DataFrame:
+    n = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("page_title"))
+    some = lambda k: n.where(F.col("c_custkey") % k == 0).select("page_title")
+    old, one = F.lit("old").alias("error_message"), F.lit(1)
+    tables = {
+        "failed_pages": some(5).select("page_title", old), "searched_pages": some(11),
+        "pages": some(3).select("page_title", one.alias("links_out_count"), one.alias("categories_count"), old),
+        "page_links": graph_table(spark, d, "page_links").limit(0), "page_categories": graph_table(spark, d, "page_categories").limit(0),
+    }
+    return ingest.store_records(tables, materialise(_records(spark, d), "records"), "batch")[name]
+
+
+@query(_STORED + """ SELECT page_title, CAST(len(string_split(links, '|')) * (links <> '')::INT AS INT) AS links_out_count,
+ CAST(len(string_split(categories, '|')) * (categories <> '')::INT AS INT) AS categories_count, error AS error_message FROM rec""")
+def stored_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "pages")
+
+
+@query(_STORED + """ SELECT page_title, error AS error_message FROM rec WHERE error IS NOT NULL""")
+def stored_failures(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "failed_pages")
+
+
+@query(_STORED + """ SELECT page_title FROM os UNION SELECT page_title FROM rec WHERE error IS NULL""")
+def stored_searched(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "searched_pages")
+
+
+@query(_STORED + """ SELECT DISTINCT page_title AS source_title, unnest(string_split(links, '|')) AS target_title FROM rec WHERE links <> ''""")
+def stored_links(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "page_links")
+
+
+@query(FILTERED.replace("WITH ", with_tables("cluster_assignments") + ", ", 1) + """, ca AS (SELECT page_title FROM cluster_assignments WHERE cluster_id % 4 > 0),
+n AS (SELECT source_title AS p FROM e UNION SELECT target_title FROM e)
+SELECT (SELECT count(*) FROM n WHERE p NOT IN (SELECT page_title FROM ca)) AS dropped_nodes,
+ (SELECT count(*) FROM e WHERE source_title NOT IN (SELECT page_title FROM ca) OR target_title NOT IN (SELECT page_title FROM ca)) AS dropped_edges""")
+def dropped_by_layout(spark: SparkSession, d: str) -> DataFrame:
+    return layout.dropped(_filtered(spark, d), graph_table(spark, d, "cluster_assignments").where("cluster_id % 4 > 0"))
+
+
+@query(_LB + """ SELECT page_title, round((x - x0) / greatest(x1 - x0, 1e-9) * 2000 - 1000, 6) AS x, round((y - y0) / greatest(y1 - y0, 1e-9) * 2000 - 1000, 6) AS y FROM nodes_layout, b""")
+def normalised_layout(spark: SparkSession, d: str) -> DataFrame:
+    found = layout.normalise_columns(_layout(spark, d).select("page_title", "x", "y"))
+    return found.select("page_title", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(_LB + """, nw AS (SELECT page_title, 0.0::DOUBLE AS x, 1.0::DOUBLE AS y FROM nodes_layout WHERE in_degree % 3 = 0 UNION ALL SELECT 'new', 2.0, 3.0)
+SELECT page_title, x, y FROM nw UNION ALL SELECT page_title, x, y FROM nodes_layout WHERE page_title NOT IN (SELECT page_title FROM nw)""")
+def upserted_layout(spark: SparkSession, d: str) -> DataFrame:
+    old = _layout(spark, d)
+    new = old.where("in_degree % 3 = 0").select("page_title", F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
+    new = new.unionByName(spark.range(1).select(F.lit("new").alias("page_title"), F.lit(2.0).alias("x"), F.lit(3.0).alias("y")))
+    return ingest.upsert(old.select("page_title", "x", "y"), new, ["page_title"])

@@ -2,6 +2,7 @@
 
 import json
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -196,7 +197,7 @@ def test_store(spark):
     rows = spark.createDataFrame([("a", ["b", "c"], ["k"], None, 1), ("a", [], [], "late", 2), ("d", ["a"], [], None, 3)], schema)
     out = ingest.store_records(empty, rows, "seq")
     assert {tuple(r) for r in out["pages"].collect()} == {("a", 0, 0, "late"), ("d", 1, 0, None)}
-    assert {r[0] for r in out["searched_pages"].collect()} == {"a", "d"} and [tuple(r) for r in out["failed_pages"].collect()] == [("a", "late")]
+    assert {r[0] for r in out["searched_pages"].collect()} == {"a", "d"} and [tuple(r) for r in out["failed_pages"].drop("failed_at").collect()] == [("a", "late")]
     assert {tuple(r) for r in out["page_links"].collect()} == {("a", "b"), ("a", "c"), ("d", "a")}
     assert ingest.clean_failed(out["failed_pages"], out["searched_pages"]).count() == 0
     again = ingest.store_records(out, spark.createDataFrame([("d", ["q"], [], None, 1)], schema), "seq")
@@ -240,3 +241,85 @@ def test_raster():
     assert tiles.arrow((0, 0), (0, 0), 7, 4) == [] and len(tiles.arrow((0, 0), (9, 0), 7, 4)) == 3
     data = tiles.png(image)
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and data[16:24] == (32).to_bytes(4, "big") * 2
+
+
+def test_paths_beyond_the_broadcast_bound(spark, monkeypatch):
+    """The same eccentricities, and simple paths as long, when steps are joins."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "d"), ("d", "e"), ("e", "x"), ("a", "a")]
+    edges = spark.createDataFrame(pairs, E)
+    nodes = graph.edge_nodes(edges)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    few = key(paths.eccentricities(edges, nodes))
+    walks = {r["end_node"]: r["path_length"] for r in paths.longest_incoming(edges, nodes, 200).collect()}
+    monkeypatch.setattr(paths, "MOST_EDGES", 0)
+    assert key(paths.eccentricities(edges, nodes)) == few and few[0] == ("a", "x", 5, "a -> b -> c -> d -> e -> x")
+    got = paths.longest_incoming(edges, nodes, 200).collect()
+    assert {r["end_node"]: r["path_length"] for r in got} == walks == {"a": 2, "b": 2, "c": 2, "d": 3, "e": 4, "x": 5}
+    for r in got:
+        steps = r["path"].split(" -> ")
+        assert len(set(steps)) == len(steps) == r["path_length"] + 1 and set(zip(steps, steps[1:])) <= set(pairs)
+
+
+def test_random_walks_are_fair_and_simple():
+    """Walks from a fork of three ways take each about as often, and the longest is found."""
+    first, to = np.array([0, 3, 3, 4, 5, 5]), np.array([1, 2, 3, 4, 4])
+    rng = np.random.default_rng(1)
+    ends = [paths.walk_back(first, to, 0, 1, rng) for _ in range(900)]
+    count = {1: 0, 2: 0, 3: 0}
+    for e in ends:
+        count[e[1]] += 1
+        assert e in ([0, 1], [0, 2, 4], [0, 3, 4])
+    assert min(count.values()) > 240 and len(paths.walk_back(first, to, 0, 50, rng)) == 3
+
+
+def test_names_beyond_fifty_candidates(spark):
+    """A cluster whose first sixty names are taken by others gets its sixty-first."""
+    assigned = spark.createDataFrame([(f"p{i:02d}", i) for i in range(61)], "page_title string, cluster_id long")
+    cats = spark.createDataFrame([(f"p{i:02d}", f"n{k:02d}") for i in range(60) for k in [i]] + [("p60", f"n{k:02d}") for k in range(61)],
+                                 "page_title string, category_name string")
+    got = {r["cluster_id"]: r["cluster_name"] for r in clusters.cluster_names(assigned, cats).collect()}
+    assert got[59] == "n59" and got[60] == "n60"
+
+
+def test_images_in_parts(spark, monkeypatch):
+    """Tiles drawn in parts and laid over each other are those drawn at once."""
+    rng = np.random.default_rng(4)
+    rows = [(f"p{i:03d}", float(x), float(y), 1, f"#{i:06x}", 0, 0, 9.0) for i, (x, y) in enumerate(rng.uniform(0, 50, (60, 2)))]
+    placed = spark.createDataFrame(rows, "page_title string, x double, y double, cluster_id int, cluster_color string, in_degree int, out_degree int, node_size double")
+    edges = spark.createDataFrame([(f"p{i:03d}", f"p{(i * 7) % 60:03d}") for i in range(60)], E)
+    geometry = tiles.edge_geometry(edges, placed, 1).cache()
+    member, discs = tiles.edge_tiles(geometry, 1).cache(), tiles.disc_tiles(placed, 1).cache()
+    key = lambda df: sorted((r["zoom"], r["tx"], r["ty"], zlib.crc32(bytes(r["png"]))) for r in df.collect())
+    whole = key(tiles.render_edges(member, geometry, 1)), key(tiles.render_nodes(discs))
+    monkeypatch.setattr(tiles, "PART", 3)
+    monkeypatch.setattr(tiles, "STACK", 4)
+    assert (key(tiles.render_edges(member, geometry, 1)), key(tiles.render_nodes(discs))) == whole and len(whole[0]) == 5
+
+
+def test_clipped_lines():
+    """Only what lies in the image is computed, and it is the same as when all of the line is."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        ends = rng.uniform(-300, 300, 4)
+        width = int(rng.integers(1, 3))
+        small, big = np.zeros((40, 40, 4), np.uint8), np.zeros((700, 700, 4), np.uint8)
+        tiles.draw_line(small, *ends, width, (1, 2, 3, 4))
+        n = int(max(abs(ends[2] - ends[0]), abs(ends[3] - ends[1]))) + 1
+        for k in range(n + 1):
+            x, y = int(np.rint(ends[0] + (ends[2] - ends[0]) * (k / n))), int(np.rint(ends[1] + (ends[3] - ends[1]) * (k / n)))
+            for d in range(width):
+                a, b = (x, y + d) if abs(ends[2] - ends[0]) >= abs(ends[3] - ends[1]) else (x + d, y)
+                if 0 <= a < 40 and 0 <= b < 40:
+                    big[b, a] = (1, 2, 3, 4)
+        assert (small == big[:40, :40]).all()
+
+
+def test_large_community_layout():
+    """Pages outside of the anchors: pulled towards one anchor, without any on an anchor in turn; all finite."""
+    rng = np.random.default_rng(1)
+    n = 1700
+    a, b = rng.integers(0, 200, 3000), rng.integers(0, n, 3000)
+    p = layout.local_layout(n, a, b)
+    assert p.shape == (n, 2) and np.isfinite(p).all() and np.abs(p).max() < 3
+    lone = np.setdiff1d(np.arange(n), np.concatenate([a, b]))
+    assert len(lone) > 100 and np.hypot(*p[lone].T).std() > 0.05  # not on a ring
