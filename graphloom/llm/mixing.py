@@ -193,5 +193,6 @@ def mix(
     if repeated:
         nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source"))
         rows, same = rows.withColumn(own, F.row_number().over(nth)), same & (F.col(own) == F.col(place))
-    picked = rows.join(due, same).select(*quoted(keep), position_col)
+    # A row per use grows with the data, so it is never broadcast, whatever its size here.
+    picked = rows.join(due.hint("merge"), same).select(*quoted(keep), position_col)
     return picked.repartitionByRange(position_col, "doc_id").sortWithinPartitions(position_col, "doc_id")
