@@ -1,16 +1,22 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences, which gives an
-identifier. The identifiers in order of the text, with a gap wherever other sentences stand between, form a short
-string. Ordered rules are regular expressions over it: each names the licence of every sequence that it matches, and
-what an earlier rule has taken is gone for the later ones. Licence sentences that no rule takes are reported as such.
+A text is cut into sentences; each is normalised and looked up in a table of known licence sentences, which gives an
+identifier; notices with parts that vary (a version, a name) are recognised by patterns instead. The identifiers in order
+of the text, with a gap wherever other sentences stand between, form a short string. Ordered rules are sequences of
+identifiers: each names the licence of every sequence that it matches, whole licence texts first, and what an earlier
+rule has taken is gone for the later ones. Licence sentences that no rule takes are reported as such.
 """
 
 from __future__ import annotations
 
+import re
+from string import ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_sentences import TEXTS, VARIANTS
+
 #: (identifier, pattern over a normalised sentence): the first that matches holds. Patterns are searched for, in a
 #: syntax that Java and RE2 share. Identifiers are capital letters.
 SENTENCES: list[tuple[str, str]] = [
@@ -42,7 +48,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("UNKNOWN", r"\blicen[sc]ed? under\b|\breleased under\b"),
 ]
 
-#: (licence, sequence of identifiers) in order; "~" stands for at most one gap of other sentences.
+#: (licence, sequence of identifiers) in order; "~" stands for at most one gap of other sentences, "?" for what may lack.
 RULES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "BSDGRANT~BSDSOURCE~BSDBINARY~BSDNAME"),
     ("BSD-2-Clause", "BSDGRANT~BSDSOURCE~BSDBINARY"),
@@ -68,10 +74,6 @@ RULES: list[tuple[str, str]] = [
 
 #: A sentence ends at a line's end, or at . ! ? followed by white space.
 BREAK = r"\n+|[.!?]+[ \t\r]+"
-#: Cheap test of a sentence before it is looked up.
-HINT = r"licen|redistribut|permission|copyright|rights reserved|cc0|creative commons|the name of|as is"
-_ANY = r"(?i)licen|redistribut|permission|copyright|rights reserved|cc0|creative commons|the name of|as is"
-
 #: "released under the terms of the", and "SPDX-License-Identifier:", which names a licence by itself.
 _UNDER = r"\b(licen[sc]ed|released|distributed|available|published|provided|issued|shared) under (the |a |an )?(terms of (the |a |an )?)?"
 _SPDX = r"spdx license identifier "
@@ -89,8 +91,7 @@ def _gnu(name: str, short: str, version: str) -> str:
     return rf"({_UNDER}|{_TERMS}(the )?)gnu {name}general public licen[sc]e{after}{of}|{_GIVEN}(gnu )?{short}{number}"
 
 
-#: More phrasings, tried before SENTENCES: real headers, SPDX identifiers, "released under" forms. The SQL of the query
-#: knows SENTENCES and RULES alone; where a text has only those the results are the same.
+#: More phrasings, tried before SENTENCES: real headers, SPDX identifiers, "released under" forms.
 MORE_SENTENCES: list[tuple[str, str]] = [
     ("LGPL", _gnu("(lesser |library )", "lgpl", "")),
     ("AGPL", _gnu("affero ", "agpl", "")),
@@ -111,20 +112,59 @@ MORE_SENTENCES: list[tuple[str, str]] = [
     ("CCBYND", _CC + _ND),
     ("CCBY", _CC),
     ("CCZERO", _GIVEN + r"(cc0|cc zero|creative commons zero)"),
+    ("ZLIBGRANT", r"permission is granted to anyone to use this software for any purpose, including commercial applications"),
 ]
 MORE_RULES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "BSDTHREE"), ("BSD-2-Clause", "BSDTWO"), ("ISC", "ISC"), ("CC-BY-NC-ND", "CCBYNCND"), ("CC-BY-ND", "CCBYND"),
+    ("Zlib", "ZLIBGRANT"),
 ]
-#: A word of every pattern of both tables, in plain or normalised text.
+#: A word of every pattern and of every sentence of the table, in plain or normalised text: what hasn't any isn't looked at.
 ANY_HINT = (
     r"(?i)licen[sc]|redistribut|permission|copyright|rights\W+reserved|cc0|creative\W+commons|the\W+name\W+of|as\W+is"
     r"|(released|distributed|available|published|provided|issued|shared)\W+under|general\W+public|mozilla"
+    r"|warrant|liable|public\W+domain|anyone\W+is\W+free|\bmpl\b"
 )
+
+
+def plain(sentence: str) -> str:
+    """A sentence of the table as ``normalise`` gives it."""
+    return re.sub(r"[^a-z0-9,]+", " ", sentence.lower()).strip()
+
+
+def _table() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """(normalised sentence -> identifier, rules of whole texts, the longest first).
+
+    A sentence that a pattern recognises, too, has the pattern's identifier, so that shorter rules know it as well.
+    """
+    known: dict[str, str] = {}
+    rules = []
+    for k, (licence, sentences) in enumerate(TEXTS):
+        for n, sentence in enumerate(map(plain, sentences)):
+            own = f"TEXT{ascii_uppercase[k // 26]}{ascii_uppercase[k % 26]}{ascii_uppercase[n]}"
+            match = next((i for i, p in MORE_SENTENCES + SENTENCES if i not in ("ASIS", "UNKNOWN") and re.search(p, sentence)), own)
+            known.setdefault(sentence, match)
+        if len(sentences) > 1:
+            rules.append((licence, "~".join(known[plain(x)] for x in sentences)))
+    known |= {plain(other): known[plain(one)] for one, other in VARIANTS}
+    # Sentences that only the table knows, but for a text's first, may be left out: they don't tell licences apart.
+    short = [(licence, seq.split("~")) for licence, seq in rules]
+    rules = []
+    for licence, seq in short:
+        needed = max([0, *[k for k, i in enumerate(seq) if not i.startswith("TEXT")]]) + 1
+        parts = [i if k == 0 or not i.startswith("TEXT") else f"{i}?" for k, i in enumerate(seq)]
+        rules.append((licence, "~".join([*parts[:needed], "ASIS?", *parts[needed:]])))
+    rules += [(licence, known[plain(x[0])]) for licence, x in TEXTS if len(x) == 1]
+    return known, sorted(rules, key=lambda r: (-r[1].replace("?", "").count("~"), -len(r[1])))
+
+
+KNOWN, TEXT_RULES = _table()
 #: The margin of a line in a comment.
 _MARGIN = r"[ \t\r]*\n[ \t]*(?:(?:[#*;%]+|//+|--+)[ \t]+)?"
 #: A break within a sentence: the next line goes on in lower case, or the last ends in a word that can't end a sentence.
 WRAP = (
     rf"(?<![.!?:;\n \t\r]){_MARGIN}(?=[\p{{Ll}}(])"
+    # a line of full length that doesn't end a sentence, as in texts in capitals
+    rf"|(?<=[^\n]{{60}})(?<![.!?:;\n \t\r]){_MARGIN}(?=\S)"
     rf"|(?<=\b(?:the|a|of|under|by|GNU|General|Lesser|Affero|Public|Creative|Commons|Apache|Mozilla|Version|version)){_MARGIN}(?=[\p{{L}}\p{{N}}])"
 )
 #: Between the licences of one SPDX expression.
@@ -143,16 +183,12 @@ def normalise(sentence: Column) -> Column:
 
 
 def identify(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
+    """The identifier of a normalised sentence, or null: by the table, else by the patterns."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(MORE_SENTENCES + SENTENCES):
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
-    return F.when(sentence.rlike(ANY_HINT), out)
-
-
-def rule_pattern(sequence: str) -> str:
-    """Over strings such as "|MIT|-|ASIS|": each identifier stands between bars, a gap is a hyphen between bars."""
-    return r"\|" + r"\|(-\|)?".join(sequence.split("~")) + r"\|"
+    table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    return F.when(sentence.rlike(ANY_HINT), F.coalesce(F.try_element_at(table, sentence), out))
 
 
 def sequence(text: Column) -> Column:
@@ -168,14 +204,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """For each row: doc_id, sentence_ids ("|A|-|B|"), licenses (sorted, comma-separated), n_matches, unmatched.
 
     Null and empty texts, and texts without a licence sentence, have no licence ("" and 0). ``unmatched`` counts
-    licence sentences that no rule takes. Rows that repeat give rows that repeat.
+    licence sentences that no rule takes. Rows that repeat give rows that repeat; other columns may have any names; an
+    empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The whole text is searched once; only texts with any hint are cut into sentences.
     ids = F.when(text.rlike(ANY_HINT), sequence(text)).otherwise(F.lit("|"))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     left: Column = F.regexp_replace("sentence_ids", r"\|", "||")
-    rules = RULES + MORE_RULES
+    rules = TEXT_RULES + RULES + MORE_RULES
     for k, (_, seq) in enumerate(rules):
         left = F.regexp_replace(left, doubled(seq), f"<{k:02d}>")
     rows = rows.withColumn("marks", left)
@@ -193,39 +230,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def doubled(seq: str) -> str:
     """The rule's pattern where every bar is doubled, so that matches next to each other don't share one."""
-    return r"\|" + r"\|\|(-\|\|)?".join(seq.split("~")) + r"\|"
-
-
-def oracle() -> str:
-    """The same in DuckDB's SQL, from the same tables of sentences and rules."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN regexp_matches(n, {quote(p)}) THEN {quote(k)}" for k, p in SENTENCES)
-    left = "replace(sentence_ids, '|', '||')"
-    for k, (_, seq) in enumerate(RULES):
-        left = f"regexp_replace({left}, {quote(doubled(seq))}, '<{k:02d}>', 'g')"
-    names = "[" + ", ".join(quote(n) for n, _ in RULES) + "]"
-    return rf"""
-WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
-), s AS (
-  SELECT r, unnest(string_split_regex(text, {quote(BREAK)})) AS s, generate_subscripts(string_split_regex(text, {quote(BREAK)}), 1) AS k
-  FROM d WHERE regexp_matches(text, {quote(_ANY)})
-), n AS (
-  SELECT r, k, trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}},]+', ' ', 'g')) AS n FROM s
-), i AS (
-  SELECT r, k, CASE WHEN regexp_matches(n, {quote(HINT)}) THEN coalesce(CASE {cases} END, '-') ELSE '-' END AS id FROM n
-), j AS (
-  SELECT r, '|' || string_agg(id, '|' ORDER BY k) || '|' AS joined FROM i GROUP BY r
-), q AS (
-  SELECT doc_id, CASE WHEN joined IS NULL THEN '|' ELSE
-    regexp_replace(regexp_replace(regexp_replace(joined, '(-\|)+', '-|', 'g'), '^\|-\|', '|'), '\|-\|$', '|') END AS sentence_ids
-  FROM d LEFT JOIN j USING (r)
-), m AS (
-  SELECT *, {left} AS marks FROM q
-)
-SELECT doc_id, sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(marks, '<(\d\d)>', 1), lambda x: {names}[CAST(x AS INT) + 1]))), ','), '') AS licenses,
-  CAST(len(regexp_extract_all(marks, '<(\d\d)>', 1)) AS BIGINT) AS n_matches,
-  CAST(len(regexp_extract_all(marks, '\|[A-Z]+\|')) AS BIGINT) AS unmatched
-FROM m
-"""
+    first, *rest = seq.split("~")
+    gap = r"\|\|(-\|\|)?"
+    return r"\|" + first + "".join(f"({gap}{i[:-1]})?" if i.endswith("?") else gap + i for i in rest) + r"\|"

@@ -62,7 +62,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", "n_matches")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,4 +180,15 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_license_scan": licenses.oracle(), "op9_mix": OP9_SQL}
+# By plain search for the statements that the tables' texts have; shares nothing with the operator's sentences and rules.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+k AS (SELECT * FROM (VALUES ('All-Rights-Reserved', 'all rights reserved'), ('Apache-2.0', 'licensed under the apache license, version 2.0'),
+  ('CC-BY-NC', 'licensed under cc by-nc 4.0'), ('GPL-3.0', 'licensed under the gnu general public license, version 3'),
+  ('MIT', 'released under the mit license')) v(name, words)),
+c AS (SELECT d.doc_id, d.t, name, (length(t) - length(replace(t, words, ''))) // length(words) AS n FROM d CROSS JOIN k)
+SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (n > 0), '') AS licenses, CAST(sum(n) AS BIGINT) AS n_matches
+FROM c GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_license_scan": OP5_SQL, "op9_mix": OP9_SQL}
