@@ -53,7 +53,8 @@ _DROP_OUTSIDE = frozenset("header dialog".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr script style template noscript iframe svg math canvas object audio video "
-    "map select button input textarea".split()
+    "map select button input textarea math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder "
+    "munderover mspace semantics annotation".split()
 )
 #: Elements that no class, id or role drops.
 _CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
