@@ -289,3 +289,4 @@ def test_whole_licence_texts(spark):
         want |= {3 * k + j: name for j in range(3)}
     got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["unmatched"]) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: (name, 1, 0) for i, name in want.items()}
+    assert all(re.search(licenses.ANY_HINT, x) and any(w in x for w in licenses.WORDS) for x in licenses.KNOWN)
