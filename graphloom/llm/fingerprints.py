@@ -28,12 +28,14 @@ BAND = 8
 #: Share of places at which unlike texts agree.
 CHANCE = 1 / 256
 #: Shingles that are permuted at a time.
-STEP = 512
+STEP = 256
 
 _rng = np.random.default_rng(1997)
 _A = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)[:, None]
 _B = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)[:, None]
 _NONE = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
+#: What the hashes of STEP shingles are computed in; made once, as large arrays are dear to make.
+_HELD = np.empty((PERMUTATIONS, STEP), np.uint64)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -41,8 +43,10 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     low = _NONE
     x = shingles >> np.uint64(32)
     for at in range(0, len(x), STEP):
-        y = _A * x[at : at + STEP]
-        y += _B
+        part = x[at : at + STEP]
+        y = _HELD[:, : len(part)]
+        np.multiply(_A, part, out=y)
+        np.add(y, _B, out=y)
         low = np.minimum(low, y.min(axis=1))
     return low
 
