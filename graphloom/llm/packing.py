@@ -34,9 +34,9 @@ WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, at about 45 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Bytes of text that are tokenised at a time (a longer text is taken by itself).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 # ---------------------------------------------------------------------------------------------------- tokenising
 

@@ -101,6 +101,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10's other half, which op10's columns have no place for: bands joined, links verified."""
+    return fingerprints.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n,
@@ -168,6 +173,7 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_mix": op9_mix,
     "op10_fingerprints": op10_fingerprints,
+    "fingerprint_links": fingerprint_links,
 }
 
 OP4_SQL = """
