@@ -323,3 +323,51 @@ def test_large_community_layout():
     assert p.shape == (n, 2) and np.isfinite(p).all() and np.abs(p).max() < 3
     lone = np.setdiff1d(np.arange(n), np.concatenate([a, b]))
     assert len(lone) > 100 and np.hypot(*p[lone].T).std() > 0.05  # not on a ring
+
+
+def random_edges(seed, n=300, m=420):
+    """Several components, a node that many link to, loops and copies."""
+    rng = np.random.default_rng(seed)
+    pairs = [(f"t{a}", f"t{b}") for a, b in rng.integers(0, n, (m, 2))] + [(f"t{a}", "t7") for a in range(0, n, 4)]
+    return pairs + [("t1", "t1"), pairs[0], ("é", "z"), ("z", "𝒜"), ("z", "￮")]
+
+
+def plain_search(pairs, start):
+    """node -> (depth, least predecessor)"""
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    found, level = {start: (0, None)}, [start]
+    while level:
+        new: dict = {}
+        for a in sorted(level):
+            for b in near.get(a, ()):
+                if b not in found:
+                    new.setdefault(b, a)
+        found |= {b: (found[a][0] + 1, a) for b, a in new.items()}
+        level = list(new)
+    return found
+
+
+def plain_path(found, node):
+    path = [node]
+    while found[path[-1]][1] is not None:
+        path.append(found[path[-1]][1])
+    return " -> ".join(path[::-1])
+
+
+def test_tree_of_all_starts_stores_nothing(spark, monkeypatch):
+    """bfs_tree: no round of all the searches is written, and the rows are those of searches one by one."""
+    pairs = random_edges(1)
+    edges = spark.createDataFrame(pairs, E)
+    starts = spark.createDataFrame([(a,) for a in sorted({a for p in pairs for a in p})] + [("nowhere",)], "page_title string")
+    want = {(r["page_title"], node, *found) for r in starts.collect() for node, found in plain_search(pairs, r["page_title"]).items()}
+    monkeypatch.setattr(paths, "materialise", None)
+    got = paths.bfs(edges, starts)
+    assert got.schema.simpleString() == "struct<start:string,node:string,depth:int,pred:string>"
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    ends = {start: depth for start, node, depth, _ in want if node == "t7"}
+    for most, target in ((2, None), (None, "t7"), (1, "t7"), (None, "nowhere"), (0, None)):
+        got = sorted(map(tuple, paths.bfs(edges, starts, target, most).collect()), key=str)
+        last = {s: min(99 if most is None else most, ends.get(s, 99) if target == "t7" else 0 if s == target else 99) for s, *_ in want}
+        assert got == sorted((w for w in want if w[2] <= last[w[0]]), key=str)
