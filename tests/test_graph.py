@@ -371,3 +371,43 @@ def test_tree_of_all_starts_stores_nothing(spark, monkeypatch):
         got = sorted(map(tuple, paths.bfs(edges, starts, target, most).collect()), key=str)
         last = {s: min(99 if most is None else most, ends.get(s, 99) if target == "t7" else 0 if s == target else 99) for s, *_ in want}
         assert got == sorted((w for w in want if w[2] <= last[w[0]]), key=str)
+
+
+def test_searches_from_many_starts(monkeypatch):
+    """eccentricities, shortest_paths: starts that are searched together get what each gets alone, by halves as well."""
+    import pyarrow as pa
+
+    pairs = random_edges(2)
+    g = paths._Components(*(pa.chunked_array([pa.array(x)]) for x in zip(*pairs, strict=True)))
+    names = g.titles.to_pylist()
+    trees = [plain_search(pairs, s) for s in names]
+    rng = np.random.default_rng(0)
+    goals = rng.integers(0, len(names), len(names))
+    order = np.concatenate([np.arange(len(names)), [0, 0, 5]])  # starts may come again
+    for held, ranks in ((paths.HELD, paths.RANKS), (3000, 2)):
+        monkeypatch.setattr(paths, "HELD", held)
+        monkeypatch.setattr(paths, "RANKS", ranks)
+        g._range = (None, None)
+        for ends in (None, goals[order]):
+            parts = list(paths._together(g, order, 0, len(names), ends))
+            assert len(parts) == 1 if held > 3000 else len(parts) > 1
+            got = [(int(e), int(d), p) for es, ds, ps in parts for e, d, p in zip(es, ds, ps.to_pylist(), strict=True)]
+            for i, (e, depth, path) in zip(order, got, strict=True):
+                tree = trees[i]
+                goal = min(tree, key=lambda x: (-tree[x][0], x)) if ends is None else names[goals[i]]
+                assert names[e] == goal
+                assert (depth, path) == ((tree[goal][0], plain_path(tree, goal)) if goal in tree else (-1, None))
+
+
+def test_paths_of_pairs(spark, monkeypatch):
+    """shortest_paths: every given pair, also of nodes that are not reached or not there, as path_to gives them."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("a", "c")], E)
+    pairs = [("a", "c"), ("a", "a"), ("c", "a"), ("q", "q"), ("q", "a"), ("a", "q"), ("x", "b"), ("x", "c")]
+    want = {("a", "c", 1, "a -> c"), ("a", "a", 0, "a"), ("q", "q", 0, "q"), ("x", "c", 1, "x -> c")}
+    want |= {(*p, -1, "NOT FOUND") for p in (("c", "a"), ("q", "a"), ("a", "q"), ("x", "b"))}
+    frame = spark.createDataFrame(pairs, "start string, node string")
+    for most in (paths.MOST_EDGES, 0):
+        monkeypatch.setattr(paths, "MOST_EDGES", most)
+        got = paths.shortest_paths(edges, frame)
+        assert got.schema.simpleString() == "struct<start:string,node:string,path_length:int,path:string>"
+        assert sorted(map(tuple, got.collect())) == sorted(want)
