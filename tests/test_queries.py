@@ -44,3 +44,10 @@ def test_images_of_every_zoom(spark):
     for name, deepest in (("edge_tile_images", 6), ("node_tile_images", 5)):
         found = Q.QUERIES[name](spark, SF).select("zoom").distinct().collect()
         assert {r["zoom"] for r in found} == set(range(deepest + 1))
+
+
+@pytest.mark.parametrize("name", ["bfs_farthest"])
+def test_ends_need_no_trees(spark, monkeypatch, name):
+    """A row per start comes out of the search itself, not of a row per start and node."""
+    monkeypatch.setattr(Q.paths, "bfs", None)
+    assert Q.QUERIES[name](spark, SF).count() > 0
