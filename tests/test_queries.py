@@ -46,7 +46,7 @@ def test_images_of_every_zoom(spark):
         assert {r["zoom"] for r in found} == set(range(deepest + 1))
 
 
-@pytest.mark.parametrize("name", ["bfs_farthest"])
+@pytest.mark.parametrize("name", ["bfs_farthest", "shortest_paths"])
 def test_ends_need_no_trees(spark, monkeypatch, name):
     """A row per start comes out of the search itself, not of a row per start and node."""
     monkeypatch.setattr(Q.paths, "bfs", None)
