@@ -433,3 +433,36 @@ def test_images_in_parts_by_their_edges(spark, monkeypatch):
     monkeypatch.setattr(tiles, "PART", 4)
     assert [len(r["cuts"]) for r in tiles._cuts(member).where("zoom = 0").collect()] == [3]
     assert key(tiles.draw_edges(geometry, 1)) == whole
+
+
+def core_graph():
+    """Edges of a component with a core, ways into it and out of it, side branches, and some small components."""
+    rng = np.random.default_rng(5)
+    pairs = {(f"t{a}", f"t{b}") for a, b in rng.integers(0, 500, (640, 2)).tolist()}
+    pairs |= {("z1", "z2"), ("z2", "z1"), ("y1", "y2"), *((f"a{i}", f"a{i + 1}") for i in range(90)), ("a40", "t1")}
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("alone", [1 << 17, 1])
+def test_farthest_by_few_searches(spark, monkeypatch, alone):
+    """bfs_farthest: with many starts, searches back from few nodes give every start's farthest one, in one task or many."""
+    pairs = core_graph()
+    edges = spark.createDataFrame(pairs, E)
+    starts = spark.createDataFrame([(a,) for a in sorted({a for p in pairs for a in p})] + [("nowhere",)], "page_title string")
+    for name, value in {"MANY": 1, "CORE": 100, "LEAST_CORE": 20, "ALONE": alone, "WORDS": 1}.items():
+        monkeypatch.setattr(paths, name, value)
+    g = paths._by_component(edges)
+    core, back, swept = paths._Core(g), g.turned(), []
+    assert len(core.middle) == 1 and (core.inner & ~core.reached).sum() > 50 and (~core.inner & core.reached).sum() > 50
+    lo, hi = int(g.low[core.middle[0]]), int(g.high[core.middle[0]])
+
+    def sweep(pivots, score):
+        swept.extend(pivots.tolist())
+        return paths._sweep(back, lo, hi, pivots, core.inner, score)
+
+    paths._core_ends(g, core, int(core.middle[0]), sweep, 8)
+    assert len(swept) < core.inner.sum() / 2
+    got = {(r["start"], r["node"], r["depth"]) for r in paths.farthest_nodes(edges, starts).collect()}
+    trees = {r["page_title"]: plain_search(pairs, r["page_title"]) for r in starts.collect()}
+    ends = {s: min(tree, key=lambda x: (-tree[x][0], x)) for s, tree in trees.items()}
+    assert got == {(s, e, trees[s][e][0]) for s, e in ends.items()}
