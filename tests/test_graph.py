@@ -466,3 +466,25 @@ def test_farthest_by_few_searches(spark, monkeypatch, alone):
     trees = {r["page_title"]: plain_search(pairs, r["page_title"]) for r in starts.collect()}
     ends = {s: min(tree, key=lambda x: (-tree[x][0], x)) for s, tree in trees.items()}
     assert got == {(s, e, trees[s][e][0]) for s, e in ends.items()}
+
+
+def test_paths_by_their_ends(spark, monkeypatch):
+    """eccentricities: paths of many starts to one end are followed together, without a search from each."""
+    pairs = core_graph()
+    edges = spark.createDataFrame(pairs, E)
+    starts = spark.createDataFrame([(a,) for a in sorted({a for p in pairs for a in p})] + [("nowhere",)], "page_title string")
+    trees = {r["page_title"]: plain_search(pairs, r["page_title"]) for r in starts.collect()}
+    for name, value in {"MANY": 1, "CORE": 100, "LEAST_CORE": 20, "ABREAST": 7}.items():
+        monkeypatch.setattr(paths, name, value)
+    g = paths._by_component(edges)
+    names = g.titles.to_pylist()
+    for end in ("t1", "a91", "z"):
+        if end not in names:
+            continue
+        i = names.index(end)
+        lo, hi = int(g.low[i]), int(g.high[i])
+        got = [x for d, p in paths._paths_into(g, np.arange(lo, hi), i, lo, paths._distances(g, i, lo, hi)) for x in zip(d.tolist(), p.to_pylist(), strict=True)]
+        assert got == [(trees[s][end][0], plain_path(trees[s], end)) if end in trees[s] else (-1, None) for s in names[lo:hi]]
+    got = {tuple(r) for r in paths.eccentricities(edges, starts).collect()}
+    ends = {s: min(tree, key=lambda x: (-tree[x][0], x)) for s, tree in trees.items()}
+    assert got == {(s, e, trees[s][e][0], plain_path(trees[s], e)) for s, e in ends.items()}
