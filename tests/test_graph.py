@@ -488,3 +488,30 @@ def test_paths_by_their_ends(spark, monkeypatch):
     got = {tuple(r) for r in paths.eccentricities(edges, starts).collect()}
     ends = {s: min(tree, key=lambda x: (-tree[x][0], x)) for s, tree in trees.items()}
     assert got == {(s, e, trees[s][e][0], plain_path(trees[s], e)) for s, e in ends.items()}
+
+
+def test_pairs_of_a_core(spark, monkeypatch):
+    """shortest_paths: pairs of starts with and without a way to the core, to few ends or many, reached or not."""
+    pairs = core_graph()
+    names = sorted({a for p in pairs for a in p}) + ["nowhere"]
+    edges = spark.createDataFrame(pairs, E)
+    for name, value in {"MANY": 1, "CORE": 100, "LEAST_CORE": 20}.items():
+        monkeypatch.setattr(paths, name, value)
+    rng = np.random.default_rng(3)
+    some = {(s, e) for s in names for e in ("t1", "a50", names[rng.integers(len(names))])} | {("nowhere", "nowhere"), ("t1", "nowhere")}
+    trees = {s: plain_search(pairs, s) for s in names}
+    want = {(s, e, trees[s][e][0], plain_path(trees[s], e)) if e in trees[s] else (s, e, -1, "NOT FOUND") for s, e in some}
+    for ends in (None, {"t1", "a50"}):
+        mine = sorted(p for p in some if ends is None or p[1] in ends)
+        got = paths.shortest_paths(edges, spark.createDataFrame(mine, "start string, node string")).collect()
+        assert sorted(map(tuple, got)) == sorted(w for w in want if ends is None or w[1] in ends)
+
+
+def test_ends_without_paths(spark, monkeypatch):
+    """bfs_farthest, shortest_paths: the queries follow no paths only to learn the ends."""
+    from graphloom.plans import queries as Q
+
+    monkeypatch.setattr(paths, "MANY", 1)
+    monkeypatch.setattr(paths, "eccentricities", None)
+    assert Q.QUERIES["bfs_farthest"](spark, "/root/testdata/sf0.1").count() == 9405
+    assert Q.QUERIES["shortest_paths"](spark, "/root/testdata/sf0.1").count() == 9405
