@@ -511,7 +511,8 @@ def test_ends_without_paths(spark, monkeypatch):
     """bfs_farthest, shortest_paths: the queries follow no paths only to learn the ends."""
     from graphloom.plans import queries as Q
 
-    monkeypatch.setattr(paths, "MANY", 1)
+    for name, value in {"MANY": 1, "CORE": 1024}.items():
+        monkeypatch.setattr(paths, name, value)
     monkeypatch.setattr(paths, "eccentricities", None)
     assert Q.QUERIES["bfs_farthest"](spark, "/root/testdata/sf0.1").count() == 9405
     assert Q.QUERIES["shortest_paths"](spark, "/root/testdata/sf0.1").count() == 9405
